@@ -28,3 +28,14 @@ def lookup(
     its size allows, and shuffles both sides otherwise."""
     out = df.join(maybe_broadcast(side), list(on), "left")
     return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in defaults.items()})
+
+
+def literal_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small fixed table as plan literals (no Python workers, no driver data)."""
+    from pyspark.sql import types as T
+
+    fields = T._parse_datatype_string(schema).fields
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)]) for r in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -1,2 +1,2 @@
-from cohortry.plans import aggregates, projections  # noqa: F401
+from cohortry.plans import aggregates, evaluation, projections, windows  # noqa: F401
 from cohortry.plans.catalog import ORACLES, QUERIES  # noqa: F401

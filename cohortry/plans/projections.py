@@ -11,7 +11,7 @@ from cohortry.functions import text as T
 from cohortry.operators import encode, longitudinal as L
 from cohortry.operators.ranks import bucketed_rank
 from cohortry.operators.sequence import sequential_id
-from cohortry.operators.lookup import lookup
+from cohortry.operators.lookup import literal_table, lookup
 from cohortry.plans import roles as R
 from cohortry.plans.aggregates import A1, A2, A3, concept_case, concept_values
 from cohortry.plans.catalog import query, table
@@ -287,7 +287,7 @@ def p19(spark, d):
 
     x = table(spark, d, "part").select("p_partkey", pick(DRUGS).alias("drug"), pick(LESIONS).alias("lesion"))
     out = x.withColumn("rxnorm", C.value_map(F.lower("drug"), C.DRUG_CODES, F.lit(C.UNKNOWN_DRUG)))
-    codes = spark.createDataFrame([(k, *v) for k, v in C.LESION_CODES.items()], "lesion string, icd10 string, risk string")
+    codes = literal_table(spark, [(k, *v) for k, v in C.LESION_CODES.items()], "lesion string, icd10 string, risk string")
     return lookup(out, codes, ["lesion"], {"icd10": F.lit("UNKNOWN"), "risk": F.lit("unknown")})
 
 
