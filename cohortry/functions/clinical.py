@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,21 +79,22 @@ def value_map(col: Column, mapping: Mapping, default: Column | None = None) -> C
     return found if default is None else F.coalesce(found, default)
 
 
-def concept_index(text: Column) -> Column:
-    """0-based index of the first matching concept; len(CONCEPTS) when none does."""
-    low = F.lower(text)
-    chain = None
-    for i, (_, _, _, words) in enumerate(CONCEPTS):
-        hit = reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-        chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
-    return chain.otherwise(F.lit(len(CONCEPTS)))
+def concept_index(text: str) -> Column:
+    """0-based index of the first matching concept; len(CONCEPTS) when none does.
+
+    `text` is a SQL expression: one parsed CASE keeps plan building cheap."""
+    arms = " ".join(
+        "WHEN " + " OR ".join(f"contains(lower({text}), '{w}')" for w in words) + f" THEN {i}"
+        for i, (_, _, _, words) in enumerate(CONCEPTS)
+    )
+    return F.expr(f"CASE {arms} ELSE {len(CONCEPTS)} END")
 
 
 def concept_field(index: Column, field: str) -> Column:
     """`domain`, `code` or `name` of a concept index."""
     pos = {"domain": 0, "code": 1, "name": 2}[field]
-    values = [c[pos] for c in CONCEPTS] + [NO_CONCEPT[pos]]
-    return F.array(*[F.lit(v) for v in values])[index]
+    values = ", ".join(f"'{c[pos]}'" for c in [*CONCEPTS, NO_CONCEPT])
+    return F.get(F.expr(f"array({values})"), index)
 
 
 def binary_code(col: Column, positive: Mapping | None = None, none_of: str = "Unknown") -> Column:

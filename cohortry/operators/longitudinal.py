@@ -10,6 +10,7 @@ as a group limit on the map side, so a hot patient ships only n rows per task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,16 @@ from cohortry.functions.numeric import duration_days, flag, to_number
 from cohortry.operators.ranks import exact_quantiles
 
 
+@dataclass(frozen=True)
+class EventKind:
+    """One kind of timeline event inside a table."""
+
+    name: str
+    date: str
+    label: str
+    where: str | None = None
+
+
 def encounter_features(enc: DataFrame, emergency: str = "emergency") -> DataFrame:
     """enc: patient, start, stop, class."""
     e = enc.select(
@@ -39,13 +50,31 @@ def encounter_features(enc: DataFrame, emergency: str = "emergency") -> DataFram
     return base.join(med, "patient", "left")
 
 
-def code_features(events: DataFrame, n: str, n_codes: str, n_open: str) -> DataFrame:
-    """events: patient, code, stop; an open event has no stop."""
-    return events.groupBy("patient").agg(
-        F.count(F.lit(1)).alias(n),
-        F.count_distinct("code").alias(n_codes),
-        F.count_if(F.col("stop").isNull()).alias(n_open),
-    )
+@dataclass(frozen=True)
+class CodeCounts:
+    """Output names of one family of coded events, and which rows belong to it."""
+
+    n: str
+    n_codes: str
+    n_open: str
+    where: str | None = None
+
+
+def code_features(events: DataFrame, families: Sequence[CodeCounts]) -> DataFrame:
+    """events: patient, code, stop; an open event has no stop. All families that lie
+    in one table are counted in one pass; a patient without any row of a family gets
+    a null there."""
+    aggs = []
+    for f in families:
+        hit = F.expr(f.where) if f.where else F.lit(True)
+        n = F.count_if(hit)
+        present = lambda c, n=n: F.when(n > 0, c)
+        aggs += [
+            present(n).alias(f.n),
+            present(F.count_distinct(F.when(hit, F.col("code")))).alias(f.n_codes),
+            present(F.count_if(hit & F.col("stop").isNull())).alias(f.n_open),
+        ]
+    return events.groupBy("patient").agg(*aggs)
 
 
 def summary_list(
@@ -73,7 +102,7 @@ def summary_list(
 
 def dominant_domain(events: DataFrame, text: str, out: str = "dominant_condition_domain") -> DataFrame:
     """Most frequent concept domain of a patient, ignoring the general one."""
-    idx = events.select("patient", concept_index(F.coalesce(F.col(text), F.lit(""))).alias("__c"))
+    idx = events.select("patient", concept_index(f"coalesce({text}, '')").alias("__c"))
     counts = idx.groupBy("patient", "__c").agg(F.count(F.lit(1)).alias("__n"))
     named = counts.withColumn("domain", concept_field(F.col("__c"), "domain"))
     specific = F.col("__c") < len(CONCEPTS)
@@ -102,18 +131,25 @@ def observation_features(obs: DataFrame, codes: Mapping[str, str], tie: str = "i
     return o.groupBy("patient").agg(*aggs)
 
 
-def timeline(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """Union of event tables (patient, date, label) tagged with their type."""
+def timeline(sources: Sequence[tuple[DataFrame, Sequence[EventKind]]]) -> DataFrame:
+    """Union of event tables into (patient, event_date, event_type, event_label). A
+    table that feeds several kinds is read once; undated events drop out."""
     out = None
-    for kind, df in parts.items():
-        p = df.select(
-            "patient",
-            F.col("date").alias("event_date"),
-            F.lit(kind).alias("event_type"),
-            F.coalesce(F.col("label"), F.lit("unknown")).alias("event_label"),
-        )
+    for df, kinds in sources:
+        items = [
+            F.when(
+                (F.expr(k.where) if k.where else F.lit(True)) & F.col(k.date).isNotNull(),
+                F.struct(
+                    F.col(k.date).alias("event_date"),
+                    F.lit(k.name).alias("event_type"),
+                    F.coalesce(F.col(k.label), F.lit("unknown")).alias("event_label"),
+                ),
+            )
+            for k in kinds
+        ]
+        p = df.select("patient", F.inline(F.array_compact(F.array(*items))))
         out = p if out is None else out.unionByName(p)
-    return out.filter(F.col("event_date").isNotNull())
+    return out
 
 
 def first_events(tl: DataFrame, limit: int = 50) -> DataFrame:

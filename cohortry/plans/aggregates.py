@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cohortry.functions.clinical import CONCEPTS, NO_CONCEPT
-from cohortry.functions.numeric import span_days
 from cohortry.operators import longitudinal as L
 from cohortry.plans import roles as R
-from cohortry.plans.catalog import query, rounded, table
+from cohortry.plans.catalog import query, table
 from cohortry.plans.roles import COND_SQL, ENC_SQL, OBS_CODES, OBS_SQL
 
 
@@ -64,39 +60,43 @@ TL_SQL = """tl AS (SELECT * FROM (
 W3 = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY event_date, event_type, event_label) AS position FROM tl) WHERE position <= 50"
 
 
-def timeline(spark, d):
-    enc, cond = R.encounters(spark, d), R.conditions(spark, d)
+def timeline(enc, cond, obs):
+    kind = L.EventKind
     return L.timeline(
-        {
-            "encounter": enc.select("patient", F.col("start").alias("date"), F.col("class").alias("label")),
-            "condition": cond.select("patient", F.col("start").alias("date"), F.col("description").alias("label")),
-            "medication": cond.filter(F.col("flag") == "R").select(
-                "patient", F.col("start").alias("date"), F.col("description").alias("label")
-            ),
-            "procedure": cond.select("patient", F.col("stop").alias("date"), F.col("flag").alias("label")),
-            "careplan": enc.select("patient", F.col("stop").alias("date"), F.col("class").alias("label")),
-            "immunization": R.observations(spark, d).select(
-                "patient", F.col("ts").alias("date"), F.col("code").alias("label")
+        [
+            (enc, [kind("encounter", "start", "class"), kind("careplan", "stop", "class")]),
+            (
+                cond,
+                [
+                    kind("condition", "start", "description"),
+                    kind("medication", "start", "description", "flag = 'R'"),
+                    kind("procedure", "stop", "flag"),
+                ],
             ),
-        }
+            (obs, [kind("immunization", "ts", "code")]),
+        ]
     )
 
 
+def tables(spark, d):
+    return R.encounters(spark, d), R.conditions(spark, d), R.observations(spark, d)
+
+
 ORDER = ["start", "ok", "ln", "code", "sk"]
 
 
 def longitudinal_parts(spark, d):
-    cond, med = R.conditions(spark, d), R.medications(spark, d)
-    return {
-        "encounters": L.encounter_features(R.encounters(spark, d)),
-        "conditions": L.code_features(cond, "n_conditions", "n_unique_condition_codes", "n_chronic_conditions"),
-        "medications": L.code_features(med, "n_medications", "n_unique_medication_codes", "n_active_medications"),
-        "condition_summary": L.summary_list(cond, "description", ORDER, "condition_summary"),
-        "medication_summary": L.summary_list(med, "description", ORDER, "medication_summary"),
-        "domain": L.dominant_domain(cond, "description"),
-        "observations": L.observation_features(R.observations(spark, d), OBS_CODES),
-        "events": timeline(spark, d).groupBy("patient").agg(F.count(F.lit(1)).alias("temporal_event_count")),
-    }
+    enc, cond, obs = tables(spark, d)
+    med = cond.filter("flag = 'R'")
+    return [
+        L.encounter_features(enc),
+        L.code_features(cond, [*R.CONDITION_COUNTS, *R.MEDICATION_COUNTS]),
+        L.summary_list(cond, "description", ORDER, "condition_summary"),
+        L.summary_list(med, "description", ORDER, "medication_summary"),
+        L.dominant_domain(cond, "description"),
+        L.observation_features(obs, OBS_CODES),
+        timeline(enc, cond, obs).groupBy("patient").agg(F.count(F.lit(1)).alias("temporal_event_count")),
+    ]
 
 
 FULL_SQL = f"""WITH {ENC_SQL}, {COND_SQL}, {OBS_SQL}, {TL_SQL}, a1 AS ({A1}), a2 AS ({A2}), a3 AS ({A3}), a5 AS ({A5}), a7 AS ({A7}),
@@ -121,7 +121,7 @@ def a00(spark, d):
     """The whole longitudinal patient table."""
     p = longitudinal_parts(spark, d)
     pats = R.patients(spark, d).select("patient", "c_mktsegment", "c_acctbal")
-    df = L.add_outcomes(L.attach(pats, list(p.values())))
+    df = L.add_outcomes(L.attach(pats, p))
     df = df.withColumns(
         {
             "condition_summary": F.coalesce("condition_summary", F.lit("")),
@@ -141,12 +141,12 @@ def a01(spark, d):
 
 @query("a02_conditions_per_patient", f"WITH {COND_SQL} {A2}")
 def a02(spark, d):
-    return L.code_features(R.conditions(spark, d), "n_conditions", "n_unique_condition_codes", "n_chronic_conditions")
+    return L.code_features(R.conditions(spark, d), R.CONDITION_COUNTS)
 
 
 @query("a03_medications_per_patient", f"WITH {COND_SQL} {A3}")
 def a03(spark, d):
-    return L.code_features(R.medications(spark, d), "n_medications", "n_unique_medication_codes", "n_active_medications")
+    return L.code_features(R.medications(spark, d), R.MEDICATION_COUNTS)
 
 
 @query("a04_numeric_observations", f"WITH {OBS_SQL} SELECT patient, count(try_cast(value AS DOUBLE)) AS numeric_observation_count FROM obs GROUP BY patient")
@@ -161,7 +161,7 @@ def a05(spark, d):
 
 @query("a06_events_per_patient", f"WITH {ENC_SQL}, {COND_SQL}, {OBS_SQL}, {TL_SQL} SELECT patient, count(*) AS temporal_event_count FROM tl GROUP BY patient")
 def a06(spark, d):
-    return timeline(spark, d).groupBy("patient").agg(F.count(F.lit(1)).alias("temporal_event_count"))
+    return timeline(*tables(spark, d)).groupBy("patient").agg(F.count(F.lit(1)).alias("temporal_event_count"))
 
 
 @query("a07_dominant_domain", f"WITH {COND_SQL} {A7}")
@@ -198,7 +198,7 @@ def a09(spark, d):
 def j01(spark, d):
     e = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("patient")).agg(F.count(F.lit(1)).alias("n_encounters"))
     pats = R.patients(spark, d).select("patient", "c_nationkey")
-    return L.attach(pats, [e, a02(spark, d), a03(spark, d)])
+    return L.attach(pats, [e, L.code_features(R.conditions(spark, d), [*R.CONDITION_COUNTS, *R.MEDICATION_COUNTS])])
 
 
 @query(
@@ -228,12 +228,12 @@ def j03(spark, d):
 
 @query("j04_event_timeline", f"WITH {ENC_SQL}, {COND_SQL}, {OBS_SQL}, {TL_SQL} SELECT patient, event_date, event_type, event_label FROM tl")
 def j04(spark, d):
-    return timeline(spark, d)
+    return timeline(*tables(spark, d))
 
 
 @query("w03_first_events", f"WITH {ENC_SQL}, {COND_SQL}, {OBS_SQL}, {TL_SQL} {W3}")
 def w03(spark, d):
-    return L.first_events(timeline(spark, d))
+    return L.first_events(timeline(*tables(spark, d)))
 
 
 @query(
@@ -243,7 +243,7 @@ def w03(spark, d):
  FROM h GROUP BY patient""",
 )
 def w03b(spark, d):
-    return L.event_summary(timeline(spark, d))
+    return L.event_summary(timeline(*tables(spark, d)))
 
 
 @query(

@@ -243,7 +243,7 @@ def p16(spark, d):
  SELECT doc_id, {concept_values(1, 'i')} AS code, {concept_values(2, 'i')} AS name, {concept_values(0, 'i')} AS domain FROM x""",
 )
 def p17(spark, d):
-    x = table(spark, d, "documents").select("doc_id", C.concept_index(F.col("text")).alias("i"))
+    x = table(spark, d, "documents").select("doc_id", C.concept_index("text").alias("i"))
     return x.select("doc_id", *[C.concept_field(F.col("i"), f).alias(f) for f in ("code", "name", "domain")])
 
 
@@ -258,7 +258,7 @@ TITLES = {c[0]: c[0].title() for c in C.CONCEPTS} | {"General": "General"}
  {case_map(concept_values(0, 'i'), TITLES)} || ' ↔ ' || {case_map(concept_values(0, 'j'), TITLES)} AS concept_pair_summary FROM x""",
 )
 def p18(spark, d):
-    x = pairs(spark, d).select("conv_id", "turn", C.concept_index(F.col("q1")).alias("i"), C.concept_index(F.col("q2")).alias("j"))
+    x = pairs(spark, d).select("conv_id", "turn", C.concept_index("q1").alias("i"), C.concept_index("q2").alias("j"))
     none = len(C.CONCEPTS)
     di, dj = C.concept_field(F.col("i"), "domain"), C.concept_field(F.col("j"), "domain")
     return x.select(
@@ -361,9 +361,8 @@ def rule_input(spark, d):
     e = R.encounters(spark, d).groupBy("patient").agg(
         F.count(F.lit(1)).alias("n_encounters"), F.min("start").alias("first_encounter_start"), F.max("stop").alias("last_encounter_end")
     )
-    cond = L.code_features(R.conditions(spark, d), "n_conditions", "n_codes", "n_chronic_conditions").drop("n_codes")
-    med = L.code_features(R.medications(spark, d), "n_medications", "n_codes", "n_active_medications").drop("n_codes")
-    return L.add_outcomes(L.attach(R.patients(spark, d).select("patient"), [e, cond, med]))
+    counts = L.code_features(R.conditions(spark, d), [*R.CONDITION_COUNTS, *R.MEDICATION_COUNTS])
+    return L.add_outcomes(L.attach(R.patients(spark, d).select("patient"), [e, counts]))
 
 
 @query("p25_complexity_score", f"{RULE_SQL} SELECT patient, round(ln(1 + n + 1.5::double * c + m), 3) AS longitudinal_complexity_score FROM j")

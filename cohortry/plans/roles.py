@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.operators.longitudinal import CodeCounts
 from cohortry.plans.catalog import table
 
 # orders are encounters; the last shipment of an order ends it
@@ -21,6 +22,10 @@ OBS_SQL = "obs AS (SELECT user_id AS patient, event_type AS code, ts, event_id A
 OBS_CODES = {c: c for c in ["view", "signup", "error", "click", "purchase"]}
 
 
+CONDITION_COUNTS = [CodeCounts("n_conditions", "n_unique_condition_codes", "n_chronic_conditions")]
+MEDICATION_COUNTS = [CodeCounts("n_medications", "n_unique_medication_codes", "n_active_medications", "flag = 'R'")]
+
+
 def patients(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(
         F.col("c_custkey").alias("patient"), "c_mktsegment", "c_acctbal", "c_nationkey"
