@@ -1,2 +1,2 @@
-from cohortry.plans import aggregates, evaluation, preparation, projections, tables, windows  # noqa: F401
+from cohortry.plans import aggregates, evaluation, personalization, preparation, projections, tables, windows  # noqa: F401
 from cohortry.plans.catalog import ORACLES, QUERIES  # noqa: F401

@@ -49,12 +49,12 @@ def i02(spark, d):
 # three patient features with holes in different places
 GAPS_SQL = """gaps AS (SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 <> 0 THEN c_acctbal / 1000 END AS f1,
  CASE WHEN c_nationkey % 4 <> 1 THEN n_orders::double END AS f2, CASE WHEN c_custkey % 7 <> 2 THEN avg_price / 97531e0 END AS f3
- FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, round(avg(o_totalprice), 2) AS avg_price FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
+ FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, avg(o_totalprice) AS avg_price FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
 
 
 def gaps(spark, d):
     o = table(spark, d, "orders").groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("n_orders"), F.round(F.avg("o_totalprice"), 2).alias("avg_price")
+        F.count(F.lit(1)).alias("n_orders"), F.avg("o_totalprice").alias("avg_price")
     )
     c = table(spark, d, "customer")
     return c.join(o, c.c_custkey == o.o_custkey, "left").select(
@@ -206,7 +206,7 @@ def b02(spark, d):
 
 
 SMOTE_SQL = """p AS (SELECT c_custkey AS id, c_mktsegment AS y, c_acctbal / 1000 AS f1, coalesce(n_orders, 0)::double AS f2, coalesce(avg_price, 0) / 1e5 AS f3
- FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, round(avg(o_totalprice), 2) AS avg_price FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+ FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, avg(o_totalprice) AS avg_price FROM orders GROUP BY 1) ON o_custkey = c_custkey),
  c AS (SELECT y, count(*) AS n FROM p GROUP BY 1), m AS (SELECT max(n) AS most, least(5, greatest(min(n) - 1, 1)) AS k FROM c),
  hashed AS (SELECT p.*, n, most - n AS want, least(k, n - 1) AS k, ('0x' || substr(md5(concat_ws('|', id, '42')), 1, 8))::bigint AS h FROM p JOIN c ON c.y = p.y, m WHERE n < most),
  r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, id) AS r FROM hashed),
@@ -223,7 +223,7 @@ SMOTE_SQL = """p AS (SELECT c_custkey AS id, c_mktsegment AS y, c_acctbal / 1000
  round(b2.f3 + u * (nn.f3 - b2.f3), 6) AS f3 FROM b2 JOIN nn ON nn.id = b2.id AND nn.rk = pick""",
 )
 def b03(spark, d):
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.avg("o_totalprice"), 2).alias("avg_price"))
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.avg("o_totalprice").alias("avg_price"))
     c = table(spark, d, "customer")
     p = c.join(o, c.c_custkey == o.o_custkey, "left").select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("y"),
