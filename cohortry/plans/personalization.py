@@ -95,8 +95,8 @@ def n05(spark, d):
 
 @query(
     "j05_pair_join_topk",
-    """WITH e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id AS c, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id)
- SELECT q, c, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS r FROM p) WHERE r <= 5""",
+    """WITH e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id AS c, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+ SELECT q, c, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 12) DESC, c) AS r FROM p) WHERE r <= 5""",
 )
 def j05(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
