@@ -9,7 +9,6 @@ until they are exploded; ranks inside a row need no shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -91,18 +90,16 @@ def coalition_values(features: Sequence[str], background, score: Scorer) -> Colu
 
 
 def shapley_from_values(v: str, d: int) -> Column:
-    """Exact Shapley values from the array of v(S)."""
+    """Exact Shapley values from the array column of v(S)."""
     phis = []
     for i in range(d):
-        terms = None
-        others = [j for j in range(d) if j != i]
-        for r in range(d):
-            for s in combinations(others, r):
-                mask = sum(1 << j for j in s)
-                t = F.lit(coalition_weight(r, d)) * (F.col(v)[mask | 1 << i] - F.col(v)[mask])
-                terms = t if terms is None else terms + t
-        phis.append(terms)
-    return F.array(*phis)
+        terms = [
+            f"{coalition_weight(bin(mask).count('1'), d)!r}D * ({v}[{mask | 1 << i}] - {v}[{mask}])"
+            for mask in range(1 << d)
+            if not mask >> i & 1
+        ]
+        phis.append(" + ".join(terms))
+    return F.expr(f"array({', '.join(phis)})")
 
 
 def exact_shapley(df: DataFrame, features: Sequence[str], background, score: Scorer, out: str = "phi") -> DataFrame:

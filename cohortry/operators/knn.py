@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from cohortry.functions.seeded import seeded_hash
 from cohortry.session import checkpoint
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
 SCORE_DIGITS = 12  # scores are rounded before ranking, so equal pairs tie on every engine
 
@@ -142,7 +142,7 @@ def _tile_topk(metric: Metric, k: int, floor: float | None):
             return empty
         c, cid = _stack(cs["vec"]), cs["cid"].to_numpy()
         outs = []
-        step = max(1, (1 << 22) // max(len(c), 1))  # bounds the score matrix
+        step = max(1, (1 << 18) // max(len(c), 1))  # a score matrix that stays in cache
         for lo in range(0, len(qs), step):
             part = qs.iloc[lo : lo + step]
             s = np.round(metric.score(_stack(part["vec"]), c), SCORE_DIGITS)
@@ -251,7 +251,8 @@ def nearest(
 
     m = pivots
     if m is None:
-        m = 1 if metric.best is None else min(MAX_PIVOTS, _blocks(corpus.count(), 4 * block_rows))
+        n = corpus.count() if metric.best is not None else 0
+        m = 1 if n <= block_rows else min(MAX_PIVOTS, int(math.sqrt(n) / 2))
     if m <= 1:
         one = F.lit(0)
         best = top_k(

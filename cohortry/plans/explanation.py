@@ -274,7 +274,7 @@ def n14(spark, d):
 SOFT = " + ".join(f"{w}::double / 4 * p_{c}" for c, w in zip(CARDS, (2.0, 1.0, 1.0)))
 
 
-@query("m02_soft_vote", f"WITH {SCORED_SQL}, v AS (SELECT id, 0e0 + {SOFT} AS p FROM scored) SELECT id, round(p, 6) AS p1, (round(p, 9) > 0.5)::int AS label FROM v")
+@query("m02_soft_vote", f"WITH {SCORED_SQL}, v AS (SELECT id, 0e0 + {SOFT} AS p FROM scored) SELECT id, round(p, 8) AS p1, (round(p, 9) > 0.5)::int AS label FROM v", digits=8)
 def m02(spark, d):
     s = S.scored(spark, d)
     probs = [F.array(1 - F.col(f"p_{c}"), F.col(f"p_{c}")) for c in CARDS]

@@ -7,8 +7,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings that change results. Everything about resources is left to the cluster.
-RESULT_CONF = {
+# Settings that results depend on, and cheap plan building. Everything about
+# resources is left to the cluster.
+SESSION_CONF = {
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -17,7 +19,7 @@ RESULT_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    for key, value in RESULT_CONF.items():
+    for key, value in SESSION_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
@@ -33,6 +35,7 @@ def local_session(app: str = "cohortry", cpus: str | int = "*", memory: str = "8
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .getOrCreate()
     )
 
