@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cohortry.functions.numeric import flag
+from cohortry.operators.sequence import sequential_id
 
 
 def collapse_target(col: Column) -> Column:
@@ -17,12 +17,11 @@ def collapse_target(col: Column) -> Column:
 
 
 def first_seen_codes(df: DataFrame, col: str, order_key: str, out: str) -> DataFrame:
-    """One row per distinct value with its code by first appearance.
-
-    The window runs over the distinct values only, which an encoding keeps small."""
+    """One row per distinct value with its code by first appearance; `order_key` is a
+    number. The distinct values are numbered in slices, so there may be many."""
     firsts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.min(order_key).alias("__first"))
-    w = Window.orderBy("__first", col)
-    return firsts.select(col, (F.row_number().over(w) - 1).cast("bigint").alias(out))
+    coded = sequential_id(firsts, F.col("__first"), ["__first", col], "__n")
+    return coded.select(col, (F.col("__n") - 1).cast("bigint").alias(out))
 
 
 def factorize(df: DataFrame, col: str, order_key: str, out: str) -> DataFrame:

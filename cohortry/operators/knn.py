@@ -252,7 +252,8 @@ def nearest(
     m = pivots
     if m is None:
         n = corpus.count() if metric.best is not None else 0
-        m = 1 if n <= block_rows else min(MAX_PIVOTS, int(math.sqrt(n) / 2))
+        # a second pass pays off only beyond a few hundred tiles
+        m = 1 if n <= 16 * block_rows else min(MAX_PIVOTS, int(math.sqrt(n) / 2))
     if m <= 1:
         one = F.lit(0)
         best = top_k(
@@ -272,8 +273,9 @@ def _pruned(q1, c1, need, metric, floor, block_rows, m, seed) -> DataFrame:
     head = c1.select("vec", "cid").orderBy(seeded_hash(seed, "cid"), "cid").limit(m).select("vec").collect()  # m vectors
     pv = np.array([list(r["vec"]) for r in head], dtype="float64")
     d = pv.shape[1]
-    c = _pivot_columns(c1, pv, False)
-    q = _pivot_columns(q1, pv, True)
+    # both sides are read by both passes: keep them once they have their cells
+    c = checkpoint(_pivot_columns(c1, pv, False))
+    q = checkpoint(_pivot_columns(q1, pv, True))
     # first pass: own cell
     own = top_k(_join_blocks(q.select("qid", "vec", "grp", "cell"), c.select("cid", "vec", "grp", "cell"), metric, need, floor, block_rows), need)
     own = checkpoint(own)

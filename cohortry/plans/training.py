@@ -16,6 +16,7 @@ MEMBERS = {
     "logistic": {"maxIter": 10},
     "random_forest": {"numTrees": 5, "maxDepth": 4},
 }
+LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 ALL = {**MEMBERS, "gbt": {"maxIter": 3, "maxDepth": 3}, "linear_svm": {"maxIter": 5}}
 
 
@@ -101,9 +102,9 @@ def m09(spark, d):
 def m10(spark, d):
     b = S.base(spark, d)
     li = table(spark, d, "lineitem").select(
-        F.monotonically_increasing_id().alias("id"), "l_quantity", "l_discount", "l_tax", (F.col("l_returnflag") == "R").cast("int").alias("y")
+        *LINE_ID, "l_quantity", "l_discount", "l_tax", (F.col("l_returnflag") == "R").cast("int").alias("y")
     )
-    sets = {"orders": (b, FEATURES, "y", ["id"]), "lineitem": (li, ["l_quantity", "l_discount", "l_tax"], "y", ["id"])}
+    sets = {"orders": (b, FEATURES, "y", ["id"]), "lineitem": (li, ["l_quantity", "l_discount", "l_tax"], "y", LINE_ID)}
     return T.training_matrix(spark, sets, MEMBERS).drop("seconds")
 
 
