@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +12,10 @@ from cohortry.operators.preprocess import long_form
 from cohortry.session import checkpoint
 
 
+PAIR_LIMIT = 1_000_000  # point pairs a pair of boxes may compare
+MAX_LEVELS = 40
+
+
 def kmeans_cohorts(emb: DataFrame, id_col: str, k: int = 5, n_init: int = 10, seed: int = 42, vec: str = "vec") -> DataFrame:
     """id, cohort: the cheapest of several seeded k-means runs."""
     from pyspark.ml.clustering import KMeans
@@ -34,7 +36,8 @@ def _cell(vec: str, d: int, side: float) -> Column:
 
 
 def dbscan(
-    emb: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5, vec: str = "vec", max_dims: int = 6, max_rounds: int = 60
+    emb: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5, vec: str = "vec", max_dims: int = 6, max_rounds: int = 60,
+    pair_limit: int = PAIR_LIMIT,
 ) -> DataFrame:
     """id, cohort: density clusters, noise -1, clusters numbered by their lowest core id.
 
@@ -42,8 +45,8 @@ def dbscan(
     a cell with `min_samples` points is all core, and the cores of one cell belong
     together. Only points of sparse cells count neighbours, and components run over
     cells, not over point pairs: a hot cell is one node whatever its size. Two cells
-    with core points are linked when some cores of them lie within eps; copies are
-    collapsed first, so a pair of cells compares distinct points.
+    with core points are linked when some cores of them lie within eps, which boxes
+    settle before points are compared (`_cell_links`). Copies are collapsed first.
     """
     first = emb.select(F.size(vec).alias("d")).first()
     if first is None:
@@ -79,12 +82,7 @@ def dbscan(
     nodes = core.groupBy("cell").agg(F.min("low").alias("label"))
     # links between cells that hold cores
     cells = around(nodes.select("cell"), "ncell").join(nodes.select(F.col("cell").alias("ncell")), "ncell").filter(F.col("cell") < F.col("ncell"))
-    a = core.select("cell", "vec")
-    b = core.select(F.col("cell").alias("ncell"), F.col("vec").alias("nvec"))
-    links = (
-        cells.join(a, "cell").join(b, "ncell").filter(_squared_distance(F.col("vec"), F.col("nvec")) <= limit)
-        .select("cell", "ncell").distinct()
-    )
+    links = _cell_links(cells, core.select("cell", "vec"), d, side, eps, pair_limit)
     links = checkpoint(links.unionByName(links.select(F.col("ncell").alias("cell"), F.col("cell").alias("ncell"))))
     labels = connected_labels(nodes, links, max_rounds)
     # borders join the lowest cluster in reach
@@ -104,6 +102,50 @@ def dbscan(
     return out.select(F.col("id").alias(id_col), F.coalesce("cohort", F.lit(-1)).cast("bigint").alias("cohort"))
 
 
+def _cell_links(cells: DataFrame, core: DataFrame, d: int, side: float, eps: float, pair_limit: int) -> DataFrame:
+    """Pairs of cells (cell, ncell) with two cores within eps, each pair once.
+
+    A pair of boxes whose farthest corners lie within eps is linked outright, one
+    whose nearest faces lie beyond eps is dropped. What stays open is compared point
+    by point when the product of its counts is small, and cut into finer boxes
+    otherwise, so two hot cells never meet point by point as a whole."""
+    limit = eps * eps * (1 + 1e-12)
+    sized = core.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    open_pairs = (
+        cells.join(sized, "cell")
+        .join(sized.select(F.col("cell").alias("ncell"), F.col("n").alias("m")), "ncell")
+        .select("cell", "ncell", F.col("cell").alias("a"), F.col("ncell").alias("b"), "n", "m")
+    )
+    found = None
+    for level in range(MAX_LEVELS):
+        open_pairs = checkpoint(open_pairs)
+        boxed = core.withColumn("box", _cell("vec", d, side / 2**level))
+        small = open_pairs.filter(F.col("n") * F.col("m") <= pair_limit).select("cell", "ncell", "a", "b")
+        pa = boxed.select("cell", F.col("box").alias("a"), "vec")
+        pb = boxed.select(F.col("cell").alias("ncell"), F.col("box").alias("b"), F.col("vec").alias("nvec"))
+        close = small.join(pa, ["cell", "a"]).join(pb, ["ncell", "b"]).filter(_squared_distance(F.col("vec"), F.col("nvec")) <= F.lit(limit))
+        hit = close.select("cell", "ncell").distinct()
+        big = open_pairs.filter(F.col("n") * F.col("m") > pair_limit)
+        if big.isEmpty():
+            return hit if found is None else found.unionByName(hit).distinct()
+        # halve the boxes of what is too big to compare
+        finer = side / 2 ** (level + 1)
+        parts = boxed.groupBy("cell", "box", _cell("vec", d, finer).alias("part")).agg(F.count(F.lit(1)).alias("c"))
+        left = parts.select("cell", F.col("box").alias("a"), F.col("part").alias("a2"), F.col("c").alias("n2"))
+        right = parts.select(F.col("cell").alias("ncell"), F.col("box").alias("b"), F.col("part").alias("b2"), F.col("c").alias("m2"))
+        steps = F.zip_with("a2", "b2", lambda x, y: F.abs(x - y))
+        near = F.aggregate(F.transform(steps, lambda x: F.greatest(x - 1, F.lit(0)) * F.lit(finer)), F.lit(0.0), lambda t, x: t + x * x)
+        far = F.aggregate(F.transform(steps, lambda x: (x + 1) * F.lit(finer)), F.lit(0.0), lambda t, x: t + x * x)
+        fine = big.select("cell", "ncell", "a", "b").join(left, ["cell", "a"]).join(right, ["ncell", "b"])
+        fine = fine.select("cell", "ncell", F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("n2").alias("n"), F.col("m2").alias("m"), near.alias("near"), far.alias("far"))
+        fine = checkpoint(fine.filter(F.col("near") <= F.lit(limit)))
+        sure = fine.filter(F.col("far") <= F.lit(eps * eps)).select("cell", "ncell").distinct()
+        fresh = hit.unionByName(sure).distinct()
+        found = checkpoint(fresh if found is None else found.unionByName(fresh).distinct())
+        open_pairs = fine.drop("near", "far").join(found, ["cell", "ncell"], "left_anti")
+    raise RuntimeError("cells could not be separated")
+
+
 def connected_labels(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """cell, label: smallest label of each component. Every round takes the smallest
     label among the neighbours and then jumps to the label of that label's owner, so

@@ -100,13 +100,14 @@ def brute_dbscan(x, eps, m):
     return [label[i] if core[i] else min([label[j] for j in near[i] if core[j]], default=-1) for i in range(n)]
 
 
-def test_dbscan_matches_brute_force(spark):
+@pytest.mark.parametrize("pair_limit", [1_000_000, 6])
+def test_dbscan_matches_brute_force(spark, pair_limit):
     rng = np.random.default_rng(5)
     x = np.r_[rng.normal(0, 0.4, (60, 2)), rng.normal(4, 0.5, (50, 2)), rng.uniform(-4, 8, (40, 2)), np.full((70, 2), 0.3)]
     x = np.c_[x][rng.permutation(len(x))]
     chain = np.c_[np.arange(30) * 0.4 + 20, np.zeros(30)]  # one long thin cluster
     x = np.r_[x, chain]
-    got = C.dbscan(frame(spark, x, "id"), "id", 0.5, 3).orderBy("id").collect()
+    got = C.dbscan(frame(spark, x, "id"), "id", 0.5, 3, pair_limit=pair_limit).orderBy("id").collect()
     assert [r["cohort"] for r in got] == brute_dbscan(x, 0.5, 3)
 
 
