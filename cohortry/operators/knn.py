@@ -199,27 +199,33 @@ def _blocks(n: int, rows: int) -> int:
     return max(1, -(-int(n) // rows))
 
 
-def _spread(df: DataFrame, grp_cell: list[str], plan: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
+def _spread(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
     """Own block by hashed id, one copy per block of the other side."""
-    j = df.join(plan, grp_cell)
-    return j.withColumn(own, (F.pmod(F.xxhash64(id_col), F.col(f"n_{own}"))).cast("int")).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))
-    )
+    block = F.pmod(F.xxhash64(id_col), F.col(f"n_{own}")).cast("int")
+    return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
 
 
-def _join_blocks(q: DataFrame, c: DataFrame, metric: Metric, k: int, floor: float | None, block_rows: int) -> DataFrame:
-    """Compare q and c within equal (grp, cell). Block counts come from the two
-    histograms, which stay a joined table of one row per cell."""
+def _join_blocks(
+    q: DataFrame, c: DataFrame, metric: Metric, k: int, floor: float | None, block_rows: int, sizes: tuple[int, int] | None = None
+) -> DataFrame:
+    """Compare q and c within equal (grp, cell). Block counts come from the histograms
+    of both sides, a joined table of one row per cell, or from `sizes` (rows of q, rows
+    of c) where there is one cell only."""
     by = ["grp", "cell"]
-    nq = q.groupBy(*by).agg(F.count(F.lit(1)).alias("__q"))
-    nc = c.groupBy(*by).agg(F.count(F.lit(1)).alias("__c"))
-    plan = nq.join(nc, by).select(
-        *by,
-        F.ceil(F.col("__q") / block_rows).cast("int").alias("n_qsub"),
-        F.ceil(F.col("__c") / block_rows).cast("int").alias("n_sub"),
-    )
-    qt = _spread(q, by, plan, "qid", "qsub", "sub").select("qid", "vec", *by, "sub", "qsub")
-    ct = _spread(c, by, plan, "cid", "sub", "qsub").select("cid", "vec", *by, "sub", "qsub")
+    if sizes is not None:
+        blocks = {"n_qsub": F.lit(_blocks(sizes[0], block_rows)), "n_sub": F.lit(_blocks(sizes[1], block_rows))}
+        q, c = q.withColumns(blocks), c.withColumns(blocks)
+    else:
+        nq = q.groupBy(*by).agg(F.count(F.lit(1)).alias("__q"))
+        nc = c.groupBy(*by).agg(F.count(F.lit(1)).alias("__c"))
+        plan = nq.join(nc, by).select(
+            *by,
+            F.ceil(F.col("__q") / block_rows).cast("int").alias("n_qsub"),
+            F.ceil(F.col("__c") / block_rows).cast("int").alias("n_sub"),
+        )
+        q, c = q.join(plan, by), c.join(plan, by)
+    qt = _spread(q, "qid", "qsub", "sub").select("qid", "vec", *by, "sub", "qsub")
+    ct = _spread(c, "cid", "sub", "qsub").select("cid", "vec", *by, "sub", "qsub")
     return _tiles(qt, ct, metric, k, floor)
 
 
@@ -239,7 +245,8 @@ def nearest(
     queries: qid, vec and optionally grp; corpus: cid, vec and optionally grp. With
     grp, only rows of the same group are compared. `floor` drops scores below it.
     """
-    if "grp" not in queries.columns:
+    grouped = "grp" in queries.columns
+    if not grouped:
         queries, corpus = queries.withColumn("grp", F.lit(0)), corpus.withColumn("grp", F.lit(0))
     # fresh column ids, so that both sides may come from one table
     corpus = corpus.select(*[F.col(c).alias(c) for c in ("grp", "vec", "cid")])
@@ -250,14 +257,17 @@ def nearest(
     c1 = corpus.select("grp", "vec", "cid").withColumn("__r", F.row_number().over(copy_w)).filter(F.col("__r") <= need).drop("__r")
 
     m = pivots
+    if m is None and metric.best is None:
+        m = 1
+    n = corpus.count() if m is None or (m <= 1 and not grouped) else 0
     if m is None:
-        n = corpus.count() if metric.best is not None else 0
         # a second pass pays off only beyond a few hundred tiles
         m = 1 if n <= 16 * block_rows else min(MAX_PIVOTS, int(math.sqrt(n) / 2))
     if m <= 1:
         one = F.lit(0)
+        sizes = None if grouped else (queries.count(), n)
         best = top_k(
-            _join_blocks(q1.withColumn("cell", one), c1.withColumn("cell", one), metric, need, floor, block_rows), need
+            _join_blocks(q1.withColumn("cell", one), c1.withColumn("cell", one), metric, need, floor, block_rows, sizes), need
         )
     else:
         best = _pruned(q1, c1, need, metric, floor, block_rows, m, seed)
