@@ -15,8 +15,10 @@ import functools
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -30,12 +32,22 @@ from cohortry.session import checkpoint, scratch_dir
 
 _FRAME_BYTES = 1 << 18
 _SEEK_FRAME, _SEEK_END = 0x184D2A5E, 0x8F92EAB1
-_MEMO = 1_000_000
+_MEMO = 750_000
+#: ASCII marks but the apostrophe, with which a contraction may begin.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters up to here are letters in every Unicode version in use.
 _LETTERS = "\u2000"
 _SPACES = re.compile(r"\s\s")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Encoder:
     """Ids of texts under a byte-level tokenizer.
 
@@ -53,9 +65,11 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.memo: dict[str, bytes] = {}  # and the generation before, for pieces met again
+        self.older: dict[str, bytes] = {}
         self.limit = memo
-        self.marks = {c: self._library([c])[0] for c in ",.;:!?"}
+        self.marks: dict[str, bytes] = {}
         self.line = self._library(["\n"])[0]
         # the characters by which byte-level tokenizers write bytes
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,12 +77,12 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        return [_packed(e.ids) for e in got]
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token, which goes to the library's merges directly."""
         seen = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(seen)], dtype="<u4").tobytes()
+        return _packed([t.id for t in self.tokenize(seen)])
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -83,14 +97,21 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         memo, marks = self.memo, self.marks
-        # a mark right after a letter, at the end of a piece, is a pre-token by itself
-        marked = [p for p in pieces if p[-1:] in marks and p[-2:-1].isalpha()]
-        stems = pieces.difference(marked).union(p[:-1] for p in marked)
-        new = [p for p in stems if p not in memo]
-        odd = []
-        for p in new:
+        # marks right after a letter, up to the end of a piece, are a pre-token by themselves
+        marked, plain = {}, []
+        for p in pieces:
+            stem = p.rstrip(_MARKS)
+            if len(stem) < len(p) and stem[-1:].isalpha():
+                marked[p] = stem
+            else:
+                plain.append(p)
+        odd, tokenize = [], self.tokenize
+        for p in {*plain, *marked.values()}.difference(memo):
+            if p.isalpha() and p.isascii():
+                memo[p] = _packed([t.id for t in tokenize("\u0120" + p)])
+                continue
             letters = p[1:] if p[:1] == "\n" else p
-            if not letters.isalpha() or not letters.isascii() and max(letters) > _LETTERS:
+            if not letters.isalpha() or max(letters) > _LETTERS:
                 odd.append(p)
             elif letters is p:
                 memo[p] = self._word(" " + p)
@@ -99,7 +120,14 @@ class Encoder:
         for at in range(0, len(odd), 4096):
             part = odd[at : at + 4096]
             memo.update(zip(part, self._library([p if p[:1] == "\n" else " " + p for p in part]), strict=True))
-        memo.update([(p, memo[p[:-1]] + marks[p[-1]]) for p in marked])
+        for p, stem in marked.items():
+            tail = p[len(stem) :]
+            ids = marks.get(tail)
+            if ids is None:
+                ids = self._library([tail])[0]
+                if len(marks) < 10_000:
+                    marks[tail] = ids
+            memo[p] = memo[stem] + ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, at = [], 0
@@ -107,11 +135,15 @@ class Encoder:
         flat = [p for pieces in cut for p in pieces]
         ids = list(map(self.memo.get, flat))
         if None in ids:
+            missing = {p for p, i in zip(flat, ids, strict=True) if i is None}
             if len(self.memo) > self.limit:
-                self.memo.clear()
-                ids = [None] * len(flat)
-            self._learn({p for p, i in zip(flat, ids, strict=True) if i is None})
-            ids = [self.memo[p] if i is None else i for p, i in zip(flat, ids, strict=True)]
+                self.memo, self.older = {}, self.memo
+            memo, older = self.memo, self.older
+            if older:
+                memo.update([(p, older[p]) for p in missing if p in older])
+                missing.difference_update(memo)
+            self._learn(missing)
+            ids = [memo[p] if i is None else i for p, i in zip(flat, ids, strict=True)]
         for t, pieces in zip(texts, cut, strict=True):
             if pieces:
                 out.append(b"".join(ids[at : at + len(pieces)])[4:])
