@@ -12,6 +12,7 @@ files: doc_id, file, frame, first id within the frame, number of ids, start.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 import struct
@@ -22,6 +23,8 @@ from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -31,13 +34,15 @@ from pyspark.sql import functions as F
 from cohortry.session import checkpoint, scratch_dir
 
 _FRAME_BYTES = 1 << 18
+_BATCH_BYTES = 1 << 24
 _SEEK_FRAME, _SEEK_END = 0x184D2A5E, 0x8F92EAB1
 _MEMO = 750_000
 #: ASCII marks but the apostrophe, with which a contraction may begin.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters up to here are letters in every Unicode version in use.
 _LETTERS = "\u2000"
-_SPACES = re.compile(r"\s\s")
+#: White space, by any account, next to white space.
+_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -48,6 +53,10 @@ def _packed(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+def _text(s: str) -> pa.Scalar:
+    return pa.scalar(s, pa.large_string())
+
+
 class Encoder:
     """Ids of texts under a byte-level tokenizer.
 
@@ -84,17 +93,6 @@ class Encoder:
         seen = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes)
         return _packed([t.id for t in self.tokenize(seen)])
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Pieces after a line break (kept at their head) or after a space (left out).
-
-        The first piece gets a line break of its own, which `encode` takes off again."""
-        return f"\n{text}".replace("\n", " \n").split(" ")[1:]
-
-    def _odd(self, text: str) -> bool:
-        """Whether white space meets white space, or a special token's string occurs."""
-        return _SPACES.search(text) is not None or any(s in text for s in self.special)
-
     def _learn(self, pieces: set[str]) -> None:
         memo, marks = self.memo, self.marks
         # marks right after a letter, up to the end of a piece, are a pre-token by themselves
@@ -129,27 +127,42 @@ class Encoder:
                     marks[tail] = ids
             memo[p] = memo[stem] + ids
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, at = [], 0
-        cut = [self._cut(t) if t and not self._odd(t) else [] for t in texts]
-        flat = [p for pieces in cut for p in pieces]
-        ids = list(map(self.memo.get, flat))
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of some different pieces."""
+        ids = list(map(self.memo.get, pieces))
         if None in ids:
-            missing = {p for p, i in zip(flat, ids, strict=True) if i is None}
+            missing = {p for p, i in zip(pieces, ids, strict=True) if i is None}
             if len(self.memo) > self.limit:
                 self.memo, self.older = {}, self.memo
             memo, older = self.memo, self.older
             if older:
                 memo.update([(p, older[p]) for p in missing if p in older])
                 missing.difference_update(memo)
+            gc.disable()  # strings and bytes only: nothing there to collect
             self._learn(missing)
-            ids = [memo[p] if i is None else i for p, i in zip(flat, ids, strict=True)]
-        for t, pieces in zip(texts, cut, strict=True):
-            if pieces:
-                out.append(b"".join(ids[at : at + len(pieces)])[4:])
-                at += len(pieces)
-            else:
-                out.append(self._library([t])[0] if t else b"")
+            gc.enable()
+            ids = [memo[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+        return ids
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts. Nulls are empty.
+
+        Pieces keep the line break before them and leave the space before them out. The
+        first piece gets a line break of its own, whose id is cut off again."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, _SPACES)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        whole = dict.fromkeys(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist())
+        usual = pc.if_else(odd, _text(""), texts) if whole else texts
+        usual = pc.replace_substring(pc.binary_join_element_wise(_text(""), usual, _text("\n")), "\n", " \n")
+        lists = pc.split_pattern(pc.utf8_slice_codeunits(usual, 1), " ")
+        pieces = lists.flatten().dictionary_encode()
+        ids = pa.array(self._ids(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pieces.indices)
+        out = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, ids), pa.scalar(b"", pa.large_binary())).to_pylist()
+        out = [x[4:] for x in out]
+        for k in whole:
+            out[k] = self._library([texts[k].as_py()])[0]
         return out
 
 
@@ -196,6 +209,21 @@ def read_frame(f, entry: np.ndarray) -> bytes:
     return ids
 
 
+def merged(batches, size: int = _BATCH_BYTES):
+    """Batches put together up to so many bytes, so that a piece is looked up once in more
+    text."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def writer(folder: str, tokenizer: str, end_id: int, frame_bytes: int):
     """Write the rows of a partition, in their order, as one file; yield its index."""
     end = struct.pack("<I", end_id)
@@ -213,20 +241,19 @@ def writer(folder: str, tokenizer: str, end_id: int, frame_bytes: int):
             entries.append(entry)
             frame.clear()
 
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in merged(batches):
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
-            for doc_id, ids in zip(batch["doc_id"], encoder(tokenizer).encode(batch["text"].tolist()), strict=True):
-                where.append((doc_id, len(entries), size // 4, len(ids) // 4 + 1))
+            for ids in encoder(tokenizer).encode(batch["text"].combine_chunks()):
+                where.append((len(entries), size // 4, len(ids) // 4 + 1))
                 frame += [ids, end]
                 size += len(ids) + 4
                 if size >= frame_bytes:
                     flush()
                     size = 0
-            yield _index(where, name)
+            columns = zip(*where, strict=True)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].combine_chunks(), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)), pa.array([name] * len(where))], ["doc_id", "frame", "offset", "n_tokens", "file"])
             where = []
         if out is not None:
             if frame:
@@ -237,13 +264,6 @@ def writer(folder: str, tokenizer: str, end_id: int, frame_bytes: int):
     return run
 
 
-def _index(where: list, name: str) -> pd.DataFrame:
-    df = pd.DataFrame(where, columns=["doc_id", "frame", "offset", "n_tokens"])
-    df["doc_id"] = df["doc_id"].astype("Int64")
-    df["file"], df["row"] = name, 0
-    return df
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, frame_bytes: int = _FRAME_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts, append `end_id` to each and write them in ascending id order.
 
@@ -257,10 +277,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, frame_b
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    schema = "doc_id bigint, frame int, offset bigint, n_tokens bigint, file string, row int"
-    index = rows.mapInPandas(writer(folder, tokenizer, end_id, frame_bytes), schema)
+    index = rows.mapInArrow(writer(folder, tokenizer, end_id, frame_bytes), "doc_id bigint, frame int, offset bigint, n_tokens bigint, file string")
     kept = f"{folder}/index"
-    index.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()).write.parquet(kept)
+    index.withColumn("part", F.spark_partition_id()).write.parquet(kept)
     index = spark.read.parquet(kept)
     # start: ids of all files before, of all frames before in the file, and the offset
     frames = index.groupBy("part", "file", "frame").agg(F.sum("n_tokens").alias("ids"))
