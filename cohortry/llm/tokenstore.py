@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from cohortry.session import checkpoint, scratch_dir
 
 _FRAME_BYTES = 1 << 18
-_BATCH_BYTES = 1 << 24
+_BATCH_BYTES = 1 << 23
 _SEEK_FRAME, _SEEK_END = 0x184D2A5E, 0x8F92EAB1
-_MEMO = 750_000
+_MEMO = 400_000
 #: ASCII marks but the apostrophe, with which a contraction may begin.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters up to here are letters in every Unicode version in use.
