@@ -15,7 +15,8 @@ so little meets each of its partners in at least one list. That bound is for the
 direction of x - y; after a random rotation the sums are far smaller, and `reach` sets the
 share of the bound that is listed. At reach 0.15 and 64 dimensions a vector is in about 40
 lists (460 at reach 1), and of random pairs with a cosine of exactly 0.95 about 7 in
-100,000 meet in none of the four blocks; at 0.97 none of 200,000 did.
+100,000 meet in none of the four blocks; at 0.97 none of 200,000 did. Vectors with fewer
+than four blocks (under 56 dimensions) are always listed to the whole bound.
 """
 
 from __future__ import annotations
@@ -69,7 +70,8 @@ def _bits(positive: np.ndarray) -> np.ndarray:
 
 
 def _budget(threshold: float, blocks: int, reach: float) -> float:
-    return reach * (2 - 2 * threshold) / (4 * blocks)
+    # with fewer than four blocks a pair has too few chances to meet; list the whole bound
+    return (reach if blocks >= 4 else 1) * (2 - 2 * threshold) / (4 * blocks)
 
 
 def packer(kind: str, threshold: float, reach: float):
