@@ -13,6 +13,23 @@ TEXT_ROWS = 512
 BROADCAST_KEYS = 100_000
 
 
+_HELD: dict = {}
+
+
+def held(key, build):
+    """An object that a Python worker builds once and keeps for its next tasks. A worker
+    keeps one at a time: workers outlive stages, and several large ones would add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what `held` keeps, for tasks that need none."""
+    _HELD.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. Batches sent to Python are cut to a size fit for long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > TEXT_ROWS:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.llm.common import release
+
 #: Masks of one window: "1" places are hashed, "0" places are ignored.
 MASKS = ("111010010111", "110111001011", "101101110101")
 _SPAN = len(MASKS[0])
@@ -178,6 +180,7 @@ def contamination(block: Block, text: Column, min_tokens: int = 13, max_replaced
 
     @F.pandas_udf("array<struct<item_id:bigint,start:int,end:int,n_tokens:int,replaced:int,item_tokens:int>>")
     def run(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series(block.overlaps(texts.tolist(), min_tokens, max_replaced))
 
     return run(text.cast("string"))

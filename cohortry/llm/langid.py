@@ -13,7 +13,6 @@ same few phrases and lets all stretches of a batch advance together.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import uniform
+from cohortry.llm.common import held, uniform
 
 _STRETCH = 256
 _SPACE = 32
@@ -91,8 +90,11 @@ class LanguageModel:
     texts: tuple[tuple[str, bytes], ...]
 
 
-@functools.lru_cache(maxsize=2)
 def _built(model: LanguageModel):
+    return held(("automata", model), lambda: _build(model))
+
+
+def _build(model: LanguageModel):
     seen = np.unique(np.frombuffer(b"".join(t for _, t in model.texts), dtype=np.uint8))
     codes = np.full(256, len(seen) + 1, dtype=np.int32)
     codes[seen] = np.arange(1, len(seen) + 1)

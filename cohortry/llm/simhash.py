@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import components, pair_blocks
+from cohortry.llm.common import components, pair_blocks, release
 from cohortry.session import checkpoint
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -54,6 +54,7 @@ def fingerprint(text: Column, n: int = 3) -> Column:
 
     @F.pandas_udf(T.LongType())
     def run(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series(np.array([simhash(t, n) for t in texts], dtype=np.uint64).view(np.int64))
 
     return run(text.cast("string"))

@@ -7,7 +7,6 @@ without any merging; only the others are merged.
 
 from __future__ import annotations
 
-import functools
 import os
 
 import pandas as pd
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortry.llm.common import held
+
 _MEMO = 800_000
 
 
@@ -77,9 +78,8 @@ class Counter:
         return self._piece(piece)
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return held(("counter", path), lambda: Counter(path))
 
 
 def n_tokens(text: Column, tokenizer: str) -> Column:

@@ -11,7 +11,6 @@ files: doc_id, file, frame, first id within the frame, number of ids, start.
 
 from __future__ import annotations
 
-import functools
 import gc
 import os
 import re
@@ -31,12 +30,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.llm.common import held, release
 from cohortry.session import checkpoint, scratch_dir
 
 _FRAME_BYTES = 1 << 18
 _BATCH_BYTES = 1 << 23
 _SEEK_FRAME, _SEEK_END = 0x184D2A5E, 0x8F92EAB1
-_MEMO = 400_000
+_MEMO = 300_000
 #: ASCII marks but the apostrophe, with which a contraction may begin.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters up to here are letters in every Unicode version in use.
@@ -166,9 +166,8 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -255,6 +254,7 @@ def writer(folder: str, tokenizer: str, end_id: int, frame_bytes: int):
             columns = zip(*where, strict=True)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].combine_chunks(), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)), pa.array([name] * len(where))], ["doc_id", "frame", "offset", "n_tokens", "file"])
             where = []
+            pa.default_memory_pool().release_unused()
         if out is not None:
             if frame:
                 flush()
@@ -315,6 +315,7 @@ def digest(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
 
 def _read(index: DataFrame, folder: str, columns: str, turn) -> DataFrame:
     def run(batches):
+        release()
         fs, root = _filesystem(folder)
         name = table = f = None
         held: tuple = (None, None)
