@@ -80,8 +80,10 @@ def smote(
     pick = F.when(F.col("__k") > 0, F.pmod(seeded_hash(f"n{seed}", "id", "copy"), F.greatest("__k", F.lit(1))) + 1)
     copies = copies.withColumns({"rank": pick.cast("int"), "u": seeded_uniform(f"u{seed}", "id", "copy")})
     members = rows.withColumn("grp", grp).filter(F.col("grp").isNotNull())
+    # only rows that are copied need neighbours
+    asking = members.join(base.select("id").distinct(), "id", "left_semi")
     near = nearest(
-        members.select(F.col("id").alias("qid"), "vec", "grp"), members.select(F.col("id").alias("cid"), "vec", "grp"), k,
+        asking.select(F.col("id").alias("qid"), "vec", "grp"), members.select(F.col("id").alias("cid"), "vec", "grp"), k,
         euclidean(), block_rows=block_rows,
     )
     nb = near.join(members.select(F.col("id").alias("cid"), F.col("vec").alias("nvec")), "cid").select(

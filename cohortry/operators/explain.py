@@ -120,7 +120,8 @@ def mean_over_background(features: Sequence[str], background, score: Scorer, fro
 
 def _designs(d: int, background, permutations: int | None, seed: int) -> list[tuple[list[bool], list[float], list[float]]]:
     """(mask, background row, coefficient per feature): contributions are the sums of
-    score times coefficient. Exact over all coalitions, or sampled permutations."""
+    score times coefficient. Exact over all coalitions, or sampled permutations, each of
+    which meets every background row."""
     out = []
     if permutations is None:
         for mask in range(1 << d):
@@ -132,17 +133,18 @@ def _designs(d: int, background, permutations: int | None, seed: int) -> list[tu
                 out.append(([bool(mask >> j & 1) for j in range(d)], list(b), [c / len(background) for c in coef]))
         return out
     rng = np.random.default_rng(seed)
-    for p in range(permutations):
-        order, b = rng.permutation(d), background[p % len(background)]
+    share = 1.0 / (permutations * len(background))
+    for _ in range(permutations):
+        order = rng.permutation(d)
         mask = [False] * d
         for step in range(d + 1):
             coef = [0.0] * d
             if step > 0:
                 mask[order[step - 1]] = True
-                coef[order[step - 1]] += 1.0 / permutations
+                coef[order[step - 1]] += share
             if step < d:
-                coef[order[step]] -= 1.0 / permutations
-            out.append((list(mask), list(b), coef))
+                coef[order[step]] -= share
+            out += [(list(mask), list(b), coef) for b in background]
     return out
 
 

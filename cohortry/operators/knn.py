@@ -331,16 +331,13 @@ def knn_impute(
     donors = per_feature(train, "cid", False)
     wanted = receivers.select((F.col("grp")).alias("grp")).distinct()
     donors = donors.join(wanted, "grp", "left_semi")
-    # ids repeat over the missing features, so the pair id carries both
+    # ids repeat over the missing features, so each (id, feature) gets a number of its own
     n = len(cols)
-    rq = receivers.select((F.col("qid") * n + F.col("grp")).alias("qid"), "vec", "grp")
-    near = nearest(rq, donors, k, nan_euclidean(), exclude_self=False, block_rows=block_rows)
-    near = near.withColumn("grp", F.pmod("qid", F.lit(n)).cast("int"))
+    rq = checkpoint(receivers.withColumn("pair", F.monotonically_increasing_id()))
+    near = nearest(rq.select(F.col("pair").alias("qid"), "vec", "grp"), donors, k, nan_euclidean(), exclude_self=False, block_rows=block_rows)
+    pairs = rq.select(F.col("pair").alias("qid"), F.col("qid").alias(id_col), "grp")
     value = donors.select("cid", "grp", F.element_at("vec", F.col("grp") + 1).alias("v"))
-    fills = near.join(value, ["cid", "grp"]).groupBy("qid").agg(F.avg("v").alias("fill"))
-    fills = fills.select(
-        F.floor(F.col("qid") / n).cast("bigint").alias(id_col), F.pmod("qid", F.lit(n)).cast("int").alias("grp"), "fill"
-    )
+    fills = near.join(pairs, "qid").join(value, ["cid", "grp"]).groupBy(id_col, "grp").agg(F.avg("v").alias("fill"))
     wide = fills.groupBy(id_col).agg(*[F.max(F.when(F.col("grp") == i, F.col("fill"))).alias(f"__f{i}") for i in range(n)])
     means = train.agg(*[F.avg(c).alias(c) for c in cols]).first()
     out = df.join(wide, id_col, "left")

@@ -32,7 +32,7 @@ def unit_bucket(p: Column, buckets: int = 4096) -> Column:
 def magnitude_bucket(x: Column) -> Column:
     """Monotone bucket of any double: sign and logarithm of the magnitude."""
     log_step = F.log(F.lit(1.0 + _REL_WIDTH))
-    mag = F.floor(F.log(F.greatest(F.abs(x), F.lit(1e-300))) / log_step).cast("int") + F.lit(80000)
+    mag = F.floor(F.log(F.least(F.greatest(F.abs(x), F.lit(1e-300)), F.lit(1e308))) / log_step).cast("int") + F.lit(80000)
     return F.when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0))
 
 
@@ -66,8 +66,10 @@ def bucketed_rank(
     offsets = sizes.select(*by, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     inside = Window.partitionBy(*by).orderBy(*order)
     ranked = tagged.withColumn("__in", F.row_number().over(inside))
-    joined = null_safe_join(ranked, offsets, by)
-    return joined.withColumn(out, (F.col("__off") + F.col("__in")).cast("bigint")).drop(
+    # a frame that gives other rows when it is evaluated again must fail, not lose rows
+    joined = null_safe_join(ranked, offsets, by, "left")
+    off = F.coalesce("__off", F.raise_error(F.lit("the input changed between two evaluations; checkpoint it first")).cast("bigint"))
+    return joined.withColumn(out, (off + F.col("__in")).cast("bigint")).drop(
         "__b", "__off", "__in"
     )
 
@@ -122,7 +124,7 @@ def exact_quantiles(
 
     Pass 1 counts rows per magnitude bucket (partial aggregation, tiny result) and
     finds the buckets that hold the wanted ranks. Pass 2 shuffles only the rows of
-    those buckets. No task ever holds all values of a key.
+    those buckets. NaN counts as null; infinities are the ends of the axis.
     """
     keys = list(keys)
     long = df.select(
@@ -136,7 +138,7 @@ def exact_quantiles(
             )
         ).alias("__kv"),
     ).select(*keys, "__kv.feature", "__kv.v")
-    long = long.filter(F.col("v").isNotNull()).withColumn("__b", magnitude_bucket(F.col("v")))
+    long = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("__b", magnitude_bucket(F.col("v")))
     by = keys + ["feature"]
     hist = long.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     key_w = Window.partitionBy(*by)

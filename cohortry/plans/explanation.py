@@ -263,11 +263,10 @@ def x13b(spark, d):
 
 @query(
     "n14_monitor_advice",
-    f"WITH {ranked_sql()} SELECT row_id, rank, 'Monitor ' || feature || ' closely (current: ' || value::int::varchar || ')' AS advice FROM ranked WHERE rank <= 3 AND contribution > 0 AND feature IN ('x2', 'x3')",
+    f"WITH {ranked_sql()} SELECT row_id, rank, 'Monitor ' || feature || ' closely (current: ' || (floor(value * 1000 + 0.3137) / 1000)::decimal(18, 3)::varchar || ')' AS advice FROM ranked WHERE rank <= 3 AND contribution > 0",
 )
 def n14(spark, d):
-    c = linear(spark, d).withColumn("value", F.col("value").cast("int"))
-    return monitor_advice(c).filter(~F.col("advice").contains("x1") & ~F.col("advice").contains("x4"))
+    return monitor_advice(linear(spark, d).withColumn("value", (F.floor(F.col("value") * 1000 + 0.3137) / 1000).cast("decimal(18,3)")))
 
 
 # ---------------------------------------------------------------- voting, scoring

@@ -230,9 +230,14 @@ def q01(spark, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("q02_duplicate_rows", "SELECT coalesce(sum(n - 1), 0)::bigint AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag, l_linestatus)")
+@query(
+    "q02_duplicate_rows",
+    """SELECT coalesce(sum(n - 1), 0)::bigint AS duplicate_rows FROM (SELECT *, count(*) AS n
+ FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1) GROUP BY ALL)""",
+)
 def q02(spark, d):
-    return Q.duplicate_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"))
+    t = table(spark, d, "lineitem")
+    return Q.duplicate_rows(t.unionByName(t.filter("l_linenumber = 1")))
 
 
 NULLS_SQL = " UNION ALL ".join(
@@ -258,9 +263,12 @@ def describe_sql(cols, tab):
     )
 
 
-@query("q05_describe_numeric", describe_sql(["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"], "lineitem"))
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("q05_describe_numeric", describe_sql(NUMBERS, "lineitem"))
 def q05(spark, d):
-    return Q.describe_numeric(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"])
+    return Q.describe_numeric(table(spark, d, "lineitem"), NUMBERS)
 
 
 CAT = ["l_returnflag", "l_linestatus"]

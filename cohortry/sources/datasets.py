@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortry.functions import clinical as C
 from cohortry.functions import numeric as N
@@ -19,7 +20,7 @@ from cohortry.operators import encode, longitudinal as L
 from cohortry.operators.lookup import literal_table, lookup
 from cohortry.operators.preprocess import fit_imputer
 from cohortry.operators.quality import manifest
-from cohortry.operators.sequence import sequential_id
+from cohortry.session import checkpoint
 from cohortry.sources import readers
 from cohortry.sources.sinks import write_table
 
@@ -42,9 +43,18 @@ REVIEW_TEXTS = ["benefits_review", "side_effects_review", "comments_review"]
 
 
 def numbered(df: DataFrame, out: str = "patient_id") -> DataFrame:
-    """1..n in scan order."""
-    pos = df.withColumn("__pos", F.monotonically_increasing_id())
-    return sequential_id(pos, F.col("__pos"), ["__pos"], out).drop("__pos")
+    """1..n in scan order.
+
+    The frame is evaluated once, into the shared checkpoint folder: a second evaluation
+    after a shuffle could give rows other positions. The high bits of a position are the
+    partition, so a number is the rows of the partitions before plus the place inside;
+    no row is sorted and the offsets are one row per partition."""
+    pos = checkpoint(df.withColumn("__pos", F.monotonically_increasing_id()))
+    pos = pos.withColumns({"__part": F.shiftright("__pos", 33), "__in": F.col("__pos").bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over the partitions
+    sizes = pos.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return pos.join(F.broadcast(offsets), "__part").withColumn(out, (F.col("__off") + F.col("__in") + 1).cast("bigint")).drop("__part", "__in", "__off", "__pos")
 
 
 def fill_medians(df: DataFrame, exclude: tuple[str, ...] = ("patient_id",)) -> DataFrame:
