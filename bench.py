@@ -37,7 +37,9 @@ HEADLINE = [
     "n04_similar_patients",
     "j05_pair_join_topk",
     "n07_dbscan_cohorts",
+    "m01_base_learners",
     "m12_batch_scoring",
+    "n06_kmeans_cohorts",
     "t01_stream_scoring",
 ]
 
