@@ -34,9 +34,9 @@ from cohortry.llm.common import held, release
 from cohortry.session import checkpoint, scratch_dir
 
 _FRAME_BYTES = 1 << 18
-_BATCH_BYTES = 1 << 23
+_BATCH_BYTES = 12 << 20
 _SEEK_FRAME, _SEEK_END = 0x184D2A5E, 0x8F92EAB1
-_MEMO = 300_000
+_MEMO = 450_000
 #: ASCII marks but the apostrophe, with which a contraction may begin.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters up to here are letters in every Unicode version in use.
@@ -232,7 +232,7 @@ def writer(folder: str, tokenizer: str, end_id: int, frame_bytes: int):
         # A name of its own for each attempt: files of attempts that were lost or ran
         # twice are in no index, so nothing reads them.
         name, out, entries, frame, size = f"{uuid.uuid4().hex}.zst", None, [], [], 0
-        compressor, where = zstandard.ZstdCompressor(level=3, write_content_size=True), []
+        compressor, where = zstandard.ZstdCompressor(level=1, write_content_size=True), []
 
         def flush():
             z, entry = _frame(b"".join(frame), compressor)
@@ -254,12 +254,12 @@ def writer(folder: str, tokenizer: str, end_id: int, frame_bytes: int):
             columns = zip(*where, strict=True)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].combine_chunks(), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)), pa.array([name] * len(where))], ["doc_id", "frame", "offset", "n_tokens", "file"])
             where = []
-            pa.default_memory_pool().release_unused()
         if out is not None:
             if frame:
                 flush()
             out.write(seek_table(entries))
             out.close()
+        pa.default_memory_pool().release_unused()
 
     return run
 
