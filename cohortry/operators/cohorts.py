@@ -21,9 +21,10 @@ def kmeans_cohorts(emb: DataFrame, id_col: str, k: int = 5, n_init: int = 10, se
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = emb.select(id_col, array_to_vector(vec).alias("features"))
+    v = emb.select(id_col, array_to_vector(vec).alias("features")).persist()
     fits = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cohort").fit(v) for i in range(n_init)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    v.unpersist()
     return best.transform(v).select(id_col, "cohort")
 
 
@@ -94,10 +95,12 @@ def dbscan(
         .groupBy("cell", "vec").agg(F.min("label").alias("label"))
     )
     found = core_l.unionByName(border.select("cell", "vec", "label"))
-    from cohortry.operators.ranks import bucketed_rank, magnitude_bucket
+    from cohortry.operators.ranks import bucketed_rank, magnitude_bucket, text_bucket
 
     roots = labels.select("label").distinct()
-    numbered = bucketed_rank(roots, magnitude_bucket(F.col("label").cast("double")), ["label"], out="n").select("label", (F.col("n") - 1).alias("cohort"))
+    text = dict(roots.dtypes)["label"] == "string"
+    bucket = text_bucket(F.col("label")) if text else magnitude_bucket(F.col("label").cast("double"))
+    numbered = bucketed_rank(roots, bucket, ["label"], out="n").select("label", (F.col("n") - 1).alias("cohort"))
     out = pts.join(found.join(numbered, "label").select("cell", "vec", "cohort"), ["cell", "vec"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("cohort", F.lit(-1)).cast("bigint").alias("cohort"))
 

@@ -118,59 +118,59 @@ def mean_over_background(features: Sequence[str], background, score: Scorer, fro
     return F.aggregate(bg, F.lit(0.0), one) / F.lit(float(len(background)))
 
 
-def _designs(d: int, background, permutations: int | None, seed: int) -> list[tuple[list[bool], list[float], list[float]]]:
-    """(mask, background row, coefficient per feature): contributions are the sums of
-    score times coefficient. Exact over all coalitions, or sampled permutations, each of
-    which meets every background row."""
-    out = []
+def _designs(d: int, permutations: int | None, seed: int) -> list[tuple[list[bool], list[float]]]:
+    """(mask, coefficient per feature): contributions are the sums of the mean score over
+    the background, with the masked features of the row, times the coefficient. Exact over
+    all coalitions, or sampled permutations; equal masks are one design."""
     if permutations is None:
+        out = []
         for mask in range(1 << d):
             size = bin(mask).count("1")
-            coef = [
-                coalition_weight(size - 1, d) if mask >> j & 1 else -coalition_weight(size, d) for j in range(d)
-            ]
-            for b in background:
-                out.append(([bool(mask >> j & 1) for j in range(d)], list(b), [c / len(background) for c in coef]))
+            coef = [coalition_weight(size - 1, d) if mask >> j & 1 else -coalition_weight(size, d) for j in range(d)]
+            out.append(([bool(mask >> j & 1) for j in range(d)], coef))
         return out
     rng = np.random.default_rng(seed)
-    share = 1.0 / (permutations * len(background))
+    merged: dict[tuple[bool, ...], list[float]] = {}
     for _ in range(permutations):
         order = rng.permutation(d)
         mask = [False] * d
         for step in range(d + 1):
-            coef = [0.0] * d
             if step > 0:
                 mask[order[step - 1]] = True
-                coef[order[step - 1]] += share
+            coef = merged.setdefault(tuple(mask), [0.0] * d)
+            if step > 0:
+                coef[order[step - 1]] += 1.0 / permutations
             if step < d:
-                coef[order[step]] -= share
-            out += [(list(mask), list(b), coef) for b in background]
-    return out
+                coef[order[step]] -= 1.0 / permutations
+    return [(list(m), c) for m, c in merged.items()]
 
 
 def model_contributions(
     df: DataFrame, id_col: str, features: Sequence[str], background, score: Callable[[DataFrame], DataFrame],
-    permutations: int | None = None, seed: int = 42,
+    permutations: int | None = None, seed: int = 42, outputs: int | None = None,
 ) -> DataFrame:
     """id, phi for a model that scores DataFrames: score(df with `vec`) adds `score`.
 
-    Each row meets a bounded list of designs; their scores are folded into one sum per
-    feature before the shuffle, so it carries about one row per input row."""
+    With `outputs`, score is an array of so many outputs (one per class) and phi has an
+    array per output. Each row meets every background row under every design; the scores
+    are folded into one sum per feature before the shuffle, so it carries about one row per
+    input row."""
     d = len(features)
-    designs = _designs(d, background, permutations, seed)
-    text = ", ".join(
-        "struct(array(" + ", ".join("true" if m else "false" for m in mask) + ") AS m, array("
-        + ", ".join(f"{float(v)!r}D" for v in b) + ") AS b, array(" + ", ".join(f"{c!r}D" for c in coef) + ") AS w)"
-        for mask, b, coef in designs
+    designs = ", ".join(
+        "struct(array(" + ", ".join("true" if m else "false" for m in mask) + ") AS m, array(" + ", ".join(f"{c / len(background)!r}D" for c in coef) + ") AS w)"
+        for mask, coef in _designs(d, permutations, seed)
     )
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    long = df.select(id_col, x.alias("__x")).select(id_col, "__x", F.explode(F.expr(f"array({text})")).alias("__d"))
+    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    long = df.select(id_col, x.alias("__x")).select(id_col, "__x", F.explode(F.expr(f"array({designs})")).alias("__d"))
+    long = long.select("*", F.explode(_background_literal(background)).alias("__b"))
     mixed = F.zip_with(
-        F.zip_with("__x", "__d.b", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.col("__d.m"), lambda s, m: F.when(m, s["a"]).otherwise(s["b"])
+        F.zip_with("__x", "__b", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.col("__d.m"), lambda s, m: F.when(m, s["a"]).otherwise(s["b"])
     )
     scored = score(long.select(id_col, F.col("__d.w").alias("__w"), mixed.alias("vec")))
-    sums = scored.groupBy(id_col).agg(*[F.sum(F.col("score") * F.col("__w")[j]).alias(f"__p{j}") for j in range(d)])
-    return sums.select(id_col, F.array(*[F.col(f"__p{j}") for j in range(d)]).alias("phi"))
+    ones = [F.col("score")] if outputs is None else [F.col("score")[c] for c in range(outputs)]
+    sums = scored.groupBy(id_col).agg(*[F.sum(s * F.col("__w")[j]).alias(f"__p{c}_{j}") for c, s in enumerate(ones) for j in range(d)])
+    phis = [F.array(*[F.col(f"__p{c}_{j}") for j in range(d)]) for c in range(len(ones))]
+    return sums.select(id_col, (phis[0] if outputs is None else F.array(*phis)).alias("phi"))
 
 
 # ------------------------------------------------------------ global summaries
@@ -294,6 +294,35 @@ def insight_rows(top_features: DataFrame) -> DataFrame:
     return by_feature.unionByName(general.select("dataset", F.lit(None).cast("string").alias("feature"), "advice"))
 
 
+# How the key findings of a dataset are worded.
+FINDING_WORDS = [
+    ("heart_disease_uci", "Most predictive feature", True, "Top cardiovascular risk factors"),
+    ("breast_cancer_wisconsin", "Most predictive feature", True, "Key diagnostic features"),
+    ("diabetes_130_hospitals", "Most predictive factor", True, "Key readmission predictors"),
+    ("other", "Most important feature", False, "Top predictive features"),
+]
+
+
+def key_findings(importances: DataFrame) -> DataFrame:
+    """importances: dataset, feature, importance. dataset, position, finding: the leading
+    feature of each dataset, then its first three (ties by name)."""
+    from cohortry.operators.lookup import literal_table
+
+    words = literal_table(importances.sparkSession, FINDING_WORDS, "rule_set string, lead string, with_value boolean, list string")
+    w = Window.partitionBy("dataset").orderBy(F.desc("importance"), "feature")
+    head = importances.select("dataset", "feature", "importance", F.row_number().over(w).alias("r")).filter("r <= 3")
+    top = head.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("r", "feature", "importance"))).alias("l"))
+    known = [r[0] for r in FINDING_WORDS if r[0] != "other"]
+    top = top.withColumn("rule_set", F.when(F.col("dataset").isin(known), F.col("dataset")).otherwise("other")).join(words, "rule_set")
+    first = F.col("l")[0]
+    value = F.when(F.col("with_value"), F.concat(F.lit(" (importance: "), F.format_string("%.3f", first["importance"]), F.lit(")"))).otherwise("")
+    lines = F.array(
+        F.concat("lead", F.lit(": "), first["feature"], value),
+        F.concat("list", F.lit(": "), F.array_join(F.transform("l", lambda s: s["feature"]), ", ")),
+    )
+    return top.select("dataset", F.posexplode(lines).alias("p", "finding")).select("dataset", (F.col("p") + 1).alias("position"), "finding")
+
+
 # ------------------------------------------------------- permutation importance
 def permutation_importance(
     df: DataFrame, id_col: str, features: Sequence[str], y: str, score: Scorer, repeats: int = 5, seed: int = 42

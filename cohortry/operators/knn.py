@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,10 +65,11 @@ def _cosine(q, c, dt):
 @dataclass(frozen=True)
 class Metric:
     """score(q, c): higher is better. best(dist, d): the highest score possible at a
-    Euclidean distance of at least `dist`, or None when distance bounds nothing."""
+    Euclidean distance of at least `dist`, as a column, or None when distance bounds
+    nothing."""
 
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
-    best: Callable[[np.ndarray, int], np.ndarray] | None = None
+    best: Callable[[Column, int], Column] | None = None
 
 
 def euclidean() -> Metric:
@@ -102,7 +103,7 @@ def weighted_similarity(weights: dict[str, float] | None = None) -> Metric:
 
     def best(dist, d):  # cosine <= 1 and d1 >= d2
         s = w["euclidean"] * (1 - dist / math.sqrt(d)) + w["cosine"] + w["manhattan"] * (1 - dist / d)
-        return np.clip(s / total, 0.0, 1.0) if total > 0 else np.zeros_like(dist)
+        return F.greatest(F.least(s / total, F.lit(1.0)), F.lit(0.0)) if total > 0 else F.lit(0.0)
 
     return Metric(score, best)
 
@@ -137,10 +138,11 @@ def _tile_topk(metric: Metric, k: int, floor: float | None):
     """One tile: at most k rows per query, ordered by (score, id)."""
 
     def run(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"qid": qs["qid"].iloc[:0], "cid": cs["cid"].iloc[:0], "score": pd.Series(dtype="float64")})
         if not len(qs) or not len(cs):
             return empty
         c, cid = _stack(cs["vec"]), cs["cid"].to_numpy()
+        order_of = np.unique(cid, return_inverse=True)[1]  # ids may be texts
         outs = []
         step = max(1, (1 << 18) // max(len(c), 1))  # a score matrix that stays in cache
         for lo in range(0, len(qs), step):
@@ -150,7 +152,7 @@ def _tile_topk(metric: Metric, k: int, floor: float | None):
             kth = np.partition(-s, m - 1, axis=1)[:, m - 1]
             rows, cols = np.nonzero(-s <= kth[:, None])  # the top m and their ties
             val = s[rows, cols]
-            order = np.lexsort((cid[cols], -val, rows))
+            order = np.lexsort((order_of[cols], -val, rows))
             rows, cols, val = rows[order], cols[order], val[order]
             first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
             pos = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
@@ -163,13 +165,11 @@ def _tile_topk(metric: Metric, k: int, floor: float | None):
     return run
 
 
-_TOPK_SCHEMA = "qid bigint, cid bigint, score double"
-
-
 def _tiles(queries: DataFrame, corpus: DataFrame, metric: Metric, k: int, floor: float | None) -> DataFrame:
     """queries and corpus carry qid/cid, vec and the tile columns grp, cell, sub, qsub."""
     by = ["grp", "cell", "sub", "qsub"]
-    return queries.groupBy(*by).cogroup(corpus.groupBy(*by)).applyInPandas(_tile_topk(metric, k, floor), _TOPK_SCHEMA)
+    schema = f"qid {dict(queries.dtypes)['qid']}, cid {dict(corpus.dtypes)['cid']}, score double"
+    return queries.groupBy(*by).cogroup(corpus.groupBy(*by)).applyInPandas(_tile_topk(metric, k, floor), schema)
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -242,8 +242,8 @@ def nearest(
 ) -> DataFrame:
     """qid, cid, score, rank: the k best corpus rows of every query, ties by id.
 
-    queries: qid, vec and optionally grp; corpus: cid, vec and optionally grp. With
-    grp, only rows of the same group are compared. `floor` drops scores below it.
+    queries: qid, vec and optionally grp; corpus: cid, vec and optionally grp. Ids are
+    numbers or texts. With grp, only rows of the same group are compared. `floor` drops scores below it.
     """
     grouped = "grp" in queries.columns
     if not grouped:
@@ -295,17 +295,16 @@ def _pruned(q1, c1, need, metric, floor, block_rows, m, seed) -> DataFrame:
     # one row per group: radii of its cells, as arrays indexed by cell
     radii = c.groupBy("grp", "cell").agg(F.max("dist").alias("hi"), F.min("dist").alias("lo"))
     cells = radii.groupBy("grp").agg(F.collect_list(F.struct("cell", "lo", "hi")).alias("cells"))
-    reach = bound.join(cells, "grp").select("qid", "vec", "grp", F.col("cell").alias("home"), "kth", "dists", F.explode("cells").alias("c"))
-    reach = reach.filter(F.col("c.cell") != F.col("home"))
-    dist = F.element_at("dists", F.col("c.cell") + 1)
-    gap = F.greatest(dist - F.col("c.hi"), F.col("c.lo") - dist, F.lit(0.0)) - F.lit(1e-9)
-    reach = reach.select("qid", "vec", "grp", F.col("c.cell").alias("cell"), "kth", F.greatest(gap, F.lit(0.0)).alias("gap"))
 
-    @F.pandas_udf("double")
-    def best_score(gap: pd.Series) -> pd.Series:
-        return pd.Series(metric.best(gap.to_numpy(), d))
+    def reachable(c: Column) -> Column:
+        """Whether the triangle inequality leaves the cell open; filtered inside the array,
+        so closed cells never become rows."""
+        dist = F.element_at("dists", c["cell"] + 1)
+        gap = F.greatest(dist - c["hi"], c["lo"] - dist, F.lit(0.0)) - F.lit(1e-9)
+        return (c["cell"] != F.col("home")) & (metric.best(F.greatest(gap, F.lit(0.0)), d) >= F.col("kth") - F.lit(1e-9))
 
-    reach = reach.withColumn("top", best_score("gap")).filter(F.col("top") >= F.col("kth") - 1e-9)
+    reach = bound.join(cells, "grp").withColumnRenamed("cell", "home")
+    reach = reach.select("qid", "vec", "grp", F.explode(F.filter("cells", reachable)["cell"]).alias("cell"))
     more = _join_blocks(reach.select("qid", "vec", "grp", "cell"), c.select("cid", "vec", "grp", "cell"), metric, need, floor, block_rows)
     return top_k(own.select("qid", "cid", "score").unionByName(more), need)
 

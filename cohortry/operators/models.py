@@ -188,13 +188,15 @@ def model_importance(model, d: int) -> list[float]:
 
 @dataclass
 class StackingEnsemble:
-    """Out-of-fold base probabilities train a logistic meta learner; the bases are then
-    refitted on all rows. Classes stay aligned on the index over all folds."""
+    """Out-of-fold base probabilities (or predicted classes, without `use_proba`) train a
+    logistic meta learner; the bases are then refitted on all rows. Classes stay aligned on
+    the index over all folds."""
 
     members: Mapping[str, dict]
     folds: int = 5
     seed: int = 42
     meta: str = "logistic"
+    use_proba: bool = True
     fitted: dict = field(default_factory=dict)
     meta_model: FittedModel | None = None
     classes: list = field(default_factory=list)
@@ -202,7 +204,8 @@ class StackingEnsemble:
     def _meta_features(self, df: DataFrame, models: Mapping[str, FittedModel]) -> DataFrame:
         for n, m in models.items():
             df = m.predict_proba(df, f"__p_{n}")
-        flat = F.flatten(F.array(*[F.col(f"__p_{n}") for n in models]))
+        outputs = [F.col(f"__p_{n}") for n in models]
+        flat = F.flatten(F.array(*outputs)) if self.use_proba else F.array(*[V.argmax(p).cast("double") for p in outputs])
         return df.withColumn("__meta", array_to_vector(flat)).drop(*[f"__p_{n}" for n in models])
 
     def _fit_bases(self, train, label, weight):
@@ -319,25 +322,33 @@ class TrainingOutcome:
     features: list
 
 
-def train_best(df: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[str], members: Mapping[str, dict], test: float = 0.2, folds: int = 5, seed: int = 42, imbalance_threshold: float = 3.0, oversample: bool = False) -> TrainingOutcome:
+def train_best(df: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[str], members: Mapping[str, dict], test: float = 0.2, folds: int = 5, seed: int = 42, imbalance_threshold: float = 3.0, oversample: bool = False, use_proba: bool = True) -> TrainingOutcome:
     """Split, weigh or oversample, fit voting and stacking, validate, keep the better."""
-    from cohortry.operators.balance import imbalance, smote
-
     data = split(df, id_cols, label, test, 0, seed)
     with persisted(vectorize(data, features)) as rows:
         train, held = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-        balanced = imbalance(train, label, imbalance_threshold).first()["class_weight"] == "balanced"
-        weight = None
-        if oversample:
-            vec = train.select(*id_cols, label, vector_to_array("features").alias("vec"))
-            new = smote(vec, id_cols[0], "vec", label, seed=seed)
-            made = new.select((-F.abs(F.xxhash64(id_cols[0], "copy")) - 1).alias(id_cols[0]), label, array_to_vector("vec").alias("features"))
-            train = train.select(id_cols[0], label, "features").unionByName(made)
-        elif balanced:
-            train, weight = with_weights(train, label), "weight"
-        voting = VotingEnsemble(members).fit(train, label, weight)
-        stacking = StackingEnsemble(members, folds, seed).fit(train, label, [id_cols[0]] if oversample else id_cols, weight)
-        scores = {"voting": evaluate_model(voting, held, label), "stacking": evaluate_model(stacking, held, label)}
+        return fit_best(train, held, features, label, id_cols, members, folds, seed, imbalance_threshold, oversample, use_proba)
+
+
+def fit_best(train: DataFrame, held: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[str], members: Mapping[str, dict], folds: int = 5, seed: int = 42, imbalance_threshold: float = 3.0, oversample: bool = False, use_proba: bool = True) -> TrainingOutcome:
+    """Voting and stacking fitted on rows with a `features` vector, and the better of them
+    on the held-out rows. Oversampled rows are told apart by base row and copy number."""
+    from cohortry.operators.balance import imbalance, smote
+
+    weight = None
+    if oversample:
+        base = F.col(id_cols[0]) if len(id_cols) == 1 else F.concat_ws("\x1f", *[F.col(c).cast("string") for c in id_cols])
+        rows = train.select(base.alias("__base"), label, vector_to_array("features").alias("vec"))
+        made = smote(rows, "__base", "vec", label, seed=seed).select("__base", F.col("copy").alias("__copy"), label, "vec")
+        rows = rows.withColumn("__copy", F.lit(0)).unionByName(made)
+        train = rows.select("__base", "__copy", label, array_to_vector("vec").alias("features"))
+        id_cols = ["__base", "__copy"]
+    elif imbalance(train, label, imbalance_threshold).first()["class_weight"] == "balanced":
+        train, weight = with_weights(train, label), "weight"
+    with persisted(train) as data:
+        voting = VotingEnsemble(members).fit(data, label, weight)
+        stacking = StackingEnsemble(members, folds, seed, use_proba=use_proba).fit(data, label, id_cols, weight)
+    scores = {"voting": evaluate_model(voting, held, label), "stacking": evaluate_model(stacking, held, label)}
     chosen = choose_model(scores["voting"], scores["stacking"], len(voting.classes))
     return TrainingOutcome(chosen, voting if chosen == "voting" else stacking, scores, voting.classes, list(features))
 
@@ -372,21 +383,34 @@ def score_output(df: DataFrame, id_col: str, probability: str = "probability", s
     )
 
 
-def save_voting(v: VotingEnsemble, path: str, spark: SparkSession, features: Sequence[str], metrics: Mapping | None = None, background: DataFrame | None = None) -> None:
-    """Members as ml models, everything else as small tables beside them."""
-    for n, m in v.fitted.items():
+def save_ensemble(model: VotingEnsemble | StackingEnsemble, path: str, spark: SparkSession, features: Sequence[str], metrics: Mapping | None = None, background: DataFrame | None = None) -> None:
+    """A voting or stacking ensemble: members as ml models, everything else as small
+    tables beside them."""
+    for n, m in model.fitted.items():
         PipelineModel(stages=[m.model]).write().overwrite().save(f"{path}/members/{n}")
-    spec = {
-        "members": {n: dict(p) for n, p in v.members.items()}, "kind": v.kind, "weights": dict(v.weights or {}), "classes": v.classes,
-        "features": list(features), "metrics": dict(metrics or {}),
-    }
+    spec = {"members": {n: dict(p) for n, p in model.members.items()}, "classes": model.classes, "features": list(features), "metrics": dict(metrics or {})}
+    if isinstance(model, StackingEnsemble):
+        PipelineModel(stages=[model.meta_model.model]).write().overwrite().save(f"{path}/meta")
+        spec |= {"folds": model.folds, "seed": model.seed, "meta": model.meta, "use_proba": model.use_proba}
+    else:
+        spec |= {"kind": model.kind, "weights": dict(model.weights or {})}
     spark.createDataFrame([(json.dumps(spec),)], "spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/spec")
     if background is not None:
         background.write.mode("overwrite").parquet(f"{path}/background")
 
 
-def load_voting(path: str, spark: SparkSession) -> tuple[VotingEnsemble, dict]:
+def load_ensemble(path: str, spark: SparkSession) -> tuple[VotingEnsemble | StackingEnsemble, dict]:
     spec = json.loads(spark.read.parquet(f"{path}/spec").first()["spec"])
-    v = VotingEnsemble(spec["members"], spec["kind"], spec["weights"] or None, classes=spec["classes"])
-    v.fitted = {n: FittedModel(n, PipelineModel.load(f"{path}/members/{n}").stages[0], spec["classes"]) for n in spec["members"]}
-    return v, spec
+
+    def loaded(folder: str, name: str) -> FittedModel:
+        return FittedModel(name, PipelineModel.load(f"{path}/{folder}").stages[0], spec["classes"])
+
+    fitted = {n: loaded(f"members/{n}", n) for n in spec["members"]}
+    if "meta" in spec:
+        model = StackingEnsemble(spec["members"], spec["folds"], spec["seed"], spec["meta"], spec["use_proba"], fitted, loaded("meta", spec["meta"]), spec["classes"])
+    else:
+        model = VotingEnsemble(spec["members"], spec["kind"], spec["weights"] or None, fitted, spec["classes"])
+    return model, spec
+
+
+save_voting, load_voting = save_ensemble, load_ensemble

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.numeric import numeric_columns, string_columns
-from cohortry.operators.ranks import bucketed_rank, exact_quantiles
+from cohortry.operators.ranks import bucketed_rank, exact_quantiles, text_bucket
+from cohortry.session import checkpoint
 
 MAX_DUMMY_CATEGORIES = 10_000
 
@@ -162,8 +163,7 @@ def ordinal_codes(df: DataFrame, col: str) -> DataFrame:
     """value, code: alphabetical codes from 0, as a distributed table. The bucket is
     the first two bytes of the value, so the order needs no single task."""
     distinct = df.select(F.col(col).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
-    head = F.rpad(F.hex(F.substring(F.encode("value", "UTF-8"), 1, 2)), 4, "0")
-    ranked = bucketed_rank(distinct, F.conv(head, 16, 10).cast("int"), ["value"], out="code")
+    ranked = bucketed_rank(distinct, text_bucket(F.col("value")), ["value"], out="code")
     return ranked.select("value", (F.col("code") - 1).cast("bigint").alias("code"))
 
 
@@ -184,7 +184,10 @@ def combined_dummies(train: DataFrame, test: DataFrame, cols: Sequence[str]) ->
 # ----------------------------------------------------------- column-wise whole
 @dataclass
 class Preprocessor:
-    """impute -> scale for numeric columns, impute -> encode for text columns."""
+    """impute -> scale for numeric columns, impute -> encode for text columns.
+
+    NaN counts as null. With `numeric_imputation="knn"` the training rows are kept as donors,
+    a table; fills are the means of the nearest donors."""
 
     numeric_imputation: str = "median"
     categorical_imputation: str = "most_frequent"
@@ -195,6 +198,19 @@ class Preprocessor:
     passthrough: list = field(default_factory=list)
     parts: dict = field(default_factory=dict)
     knn_neighbours: int = 5
+    donors: DataFrame | None = field(default=None, repr=False, compare=False)
+
+    def _clean(self, df: DataFrame) -> DataFrame:
+        floats = [c for c in self.numeric if dict(df.dtypes).get(c) in ("double", "float")]
+        return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}) if floats else df
+
+    def _fill_numbers(self, df: DataFrame) -> DataFrame:
+        if self.numeric_imputation != "knn" or not self.numeric:
+            return Imputer(self.parts["numeric"]).transform(df)
+        from cohortry.operators.knn import knn_impute
+
+        rows = checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))
+        return knn_impute(rows, "__row", self.numeric, self.knn_neighbours, self.donors).drop("__row")
 
     def fit(self, df: DataFrame, exclude: Sequence[str] = ()) -> "Preprocessor":
         self.numeric = numeric_columns(df, exclude)
@@ -202,11 +218,15 @@ class Preprocessor:
         self.passthrough = [c for c in df.columns if c not in {*self.numeric, *self.categorical}]
         if not self.numeric and not self.categorical:
             raise ValueError("no numeric and no categorical column to preprocess")
-        imputed = df
-        num = fit_imputer(df, self.numeric, self.numeric_imputation)
+        df = self._clean(df)
+        self.parts = {}
+        if self.numeric_imputation == "knn":
+            self.donors = checkpoint(df.select(*self.numeric, F.monotonically_increasing_id().alias("__row")))
+        else:
+            self.parts["numeric"] = fit_imputer(df, self.numeric, self.numeric_imputation).fill
         cat = fit_imputer(df, self.categorical, self.categorical_imputation)
-        imputed = cat.transform(num.transform(df))
-        self.parts = {"numeric": num.fill, "categorical": cat.fill}
+        self.parts["categorical"] = cat.fill
+        imputed = cat.transform(self._fill_numbers(df))
         if self.scaling:
             s = fit_scaler(imputed, self.numeric, self.scaling)
             self.parts |= {"centre": s.centre, "spread": s.spread}
@@ -230,7 +250,7 @@ class Preprocessor:
         for c in self.categorical:
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(None).cast("string"))
-        df = Imputer(self.parts["categorical"]).transform(Imputer(self.parts["numeric"]).transform(df))
+        df = Imputer(self.parts["categorical"]).transform(self._fill_numbers(self._clean(df)))
         if self.scaling:
             df = Scaler(self.parts["centre"], self.parts["spread"]).transform(df)
         if self.encoding == "onehot":
@@ -240,7 +260,7 @@ class Preprocessor:
                 if vs:
                     pairs = F.create_map(*[F.lit(x) for i, v in enumerate(vs) for x in (v, float(i))])
                     df = df.withColumn(c, F.coalesce(F.try_element_at(pairs, F.col(c)), F.lit(-1.0)))
-        return df.select(*self.output_names, *[c for c in self.passthrough if c in df.columns])
+        return df.select(*[F.col(f"`{c}`") for c in self.output_names], *[c for c in self.passthrough if c in df.columns])
 
     def fit_transform(self, df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
         return self.fit(df, exclude).transform(df)
@@ -272,11 +292,17 @@ class Preprocessor:
 
     # fitted state as a one-row-per-entry table
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(json.dumps(asdict(self)),)], "spec string").coalesce(1).write.mode("overwrite").parquet(path)
+        spec = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "donors"}
+        spark.createDataFrame([(json.dumps(spec),)], "spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/spec")
+        if self.donors is not None:
+            self.donors.write.mode("overwrite").parquet(f"{path}/donors")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Preprocessor":
-        return Preprocessor(**json.loads(spark.read.parquet(path).first()["spec"]))
+        pre = Preprocessor(**json.loads(spark.read.parquet(f"{path}/spec").first()["spec"]))
+        if pre.numeric_imputation == "knn":
+            pre.donors = spark.read.parquet(f"{path}/donors")
+        return pre
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "vec") -> DataFrame:

@@ -36,6 +36,12 @@ def magnitude_bucket(x: Column) -> Column:
     return F.when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0))
 
 
+def text_bucket(x: Column) -> Column:
+    """Monotone bucket of a text: its first two bytes in UTF-8."""
+    head = F.rpad(F.hex(F.substring(F.encode(x, "UTF-8"), 1, 2)), 4, "0")
+    return F.conv(head, 16, 10).cast("int")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys; right key columns are dropped."""
     if not keys:

@@ -128,3 +128,16 @@ def test_profile_of_empty_text_is_unknown(spark):
     got = {r["characteristic"]: (r["number"], r["mode"]) for r in C.cohort_profiles(df, "cohort", "id").collect()}
     assert got == {"size": (1.0, None), "v_mean": (2.0, None), "v_std": (None, None), "s_mode": (None, "unknown")}
     assert C.cohort_profiles(df.filter(F.col("cohort") == -1), "cohort", "id").count() == 0
+
+
+@pytest.mark.parametrize("pivots", [1, 5])
+def test_text_ids(spark, pivots):
+    x, m = points(60, 2), K.weighted_similarity()
+    name = lambda c: F.concat(F.lit("p"), F.lpad(F.col(c).cast("string"), 4, "0")).alias(c)
+    q, c = frame(spark, x).select(name("qid"), "vec"), frame(spark, x, "cid").select(name("cid"), "vec")
+    have = {}
+    for r in K.nearest(q, c, 4, m, block_rows=16, pivots=pivots).orderBy("rank").collect():
+        have.setdefault(int(r["qid"][1:]), []).append(int(r["cid"][1:]))
+    assert have == brute(x, m, 4)
+    by = C.dbscan(q.withColumnRenamed("qid", "id"), "id", 0.5, 3).orderBy("id").collect()
+    assert [r["cohort"] for r in by] == brute_dbscan(x, 0.5, 3)

@@ -40,15 +40,15 @@ def test_fills_of_large_ids(spark):
     assert got[big] == (1.0, 5.0) and got[2**62] == (49.0, 90.0) and len(got) == 5
 
 
-def test_permutations_meet_the_whole_background():
+def test_permutations_meet_the_whole_background(spark):
     background = [(float(k), float(k % 7), 1.0) for k in range(100)]
-    designs = X._designs(3, background, 20, 1)
-    assert {b[0] for _, b, _ in designs} == set(range(100))
-    # contributions add up to the score minus the mean over the background
-    score = lambda mask, b: sum(w * (10.0 if m else v) for m, v, w in zip(mask, b, (1, 2, 3), strict=True))
-    phi = np.sum([score(m, b) * np.array(c) for m, b, c in designs], axis=0)
-    base = np.mean([score([False] * 3, b) for b in background])
-    assert phi.sum() == pytest.approx(60.0 - base)
+    value = lambda v: v[0] * v[0] + v[1] * 2 + v[2] * v[1]
+    df = spark.createDataFrame([(1, 10.0, 10.0, 10.0)], "id int, a double, b double, c double")
+    for permutations in (None, 20):
+        phi = X.model_contributions(df, "id", ["a", "b", "c"], background, lambda d: d.withColumn("score", value(F.col("vec"))), permutations, 1).first()["phi"]
+        # contributions add up to the score minus the mean over all background rows
+        assert sum(phi) == pytest.approx(value((10.0, 10.0, 10.0)) - np.mean([value(b) for b in background]))
+        assert phi[0] == pytest.approx(100.0 - np.mean([b[0] ** 2 for b in background]))
 
 
 def test_quantiles_of_odd_numbers(spark):
