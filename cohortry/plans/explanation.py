@@ -243,6 +243,20 @@ def x12(spark, d):
     return X.insight_rows(both)
 
 
+@query(
+    "x12_key_findings",
+    f"""WITH {NAMED_SQL}, t AS (SELECT feature, importance, row_number() OVER (ORDER BY importance DESC, feature) AS r FROM ni),
+ a AS (SELECT string_agg(feature, ', ' ORDER BY r) AS names FROM t WHERE r <= 3)
+ SELECT 'heart_disease_uci' AS dataset, 1 AS position, 'Most predictive feature: ' || feature || ' (importance: ' || printf('%.3f', importance) || ')' AS finding FROM t WHERE r = 1
+ UNION ALL SELECT 'heart_disease_uci', 2, 'Top cardiovascular risk factors: ' || names FROM a
+ UNION ALL SELECT 'somewhere', 1, 'Most important feature: ' || feature FROM t WHERE r = 1
+ UNION ALL SELECT 'somewhere', 2, 'Top predictive features: ' || names FROM a""",
+)
+def x12_key(spark, d):
+    ni = named_importance(spark, d)
+    return X.key_findings(ni.select(F.explode(F.array(F.lit("heart_disease_uci"), F.lit("somewhere"))).alias("dataset"), "feature", "importance"))
+
+
 @query(
     "x13_highest_risk_case",
     f"""WITH {ranked_sql()}, top AS (SELECT id FROM base ORDER BY {S.p_sql('a')} DESC, id LIMIT 1) SELECT row_id, feature, round(value, 9) AS value, round(contribution, 9) AS contribution, rank FROM ranked JOIN top ON id = row_id""",
