@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.numeric import numeric_columns, string_columns
 from cohortry.operators.preprocess import long_form
+from cohortry.operators.ranks import global_rank
 from cohortry.session import checkpoint
 
 
@@ -95,12 +96,8 @@ def dbscan(
         .groupBy("cell", "vec").agg(F.min("label").alias("label"))
     )
     found = core_l.unionByName(border.select("cell", "vec", "label"))
-    from cohortry.operators.ranks import bucketed_rank, magnitude_bucket, text_bucket
-
     roots = labels.select("label").distinct()
-    text = dict(roots.dtypes)["label"] == "string"
-    bucket = text_bucket(F.col("label")) if text else magnitude_bucket(F.col("label").cast("double"))
-    numbered = bucketed_rank(roots, bucket, ["label"], out="n").select("label", (F.col("n") - 1).alias("cohort"))
+    numbered = global_rank(roots, ["label"], out="n").select("label", (F.col("n") - 1).alias("cohort"))
     out = pts.join(found.join(numbered, "label").select("cell", "vec", "cohort"), ["cell", "vec"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("cohort", F.lit(-1)).cast("bigint").alias("cohort"))
 

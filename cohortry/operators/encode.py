@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.numeric import flag
-from cohortry.operators.sequence import sequential_id
+from cohortry.operators.ranks import global_rank
 
 
 def collapse_target(col: Column) -> Column:
@@ -17,10 +17,10 @@ def collapse_target(col: Column) -> Column:
 
 
 def first_seen_codes(df: DataFrame, col: str, order_key: str, out: str) -> DataFrame:
-    """One row per distinct value with its code by first appearance; `order_key` is a
-    number. The distinct values are numbered in slices, so there may be many."""
+    """One row per distinct value with its code by first appearance; The distinct values
+    are ranked by a distributed sort, so there may be many."""
     firsts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.min(order_key).alias("__first"))
-    coded = sequential_id(firsts, F.col("__first"), ["__first", col], "__n")
+    coded = global_rank(firsts, ["__first", col], out="__n")
     return coded.select(col, (F.col("__n") - 1).cast("bigint").alias(out))
 
 

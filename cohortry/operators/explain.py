@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from cohortry.functions.seeded import seeded_hash, seeded_normal
 from cohortry.operators.metrics import ranking_scores
-from cohortry.operators.ranks import bucketed_rank, hash_bucket
+from cohortry.operators.ranks import global_rank
 
 Scorer = Callable[[Mapping[str, Column]], Column]
 MAX_BACKGROUND = 512
@@ -334,7 +334,7 @@ def permutation_importance(
     come from one rank, one join per repeat and one keyed metric pass."""
     cols = [id_col, y, *features]
     base = df.select(*cols).withColumn("__h", seeded_hash(str(seed), id_col))
-    ranked = bucketed_rank(base, hash_bucket(F.col("__h"), 1024), ["__h", id_col], out="__r").drop("__h")
+    ranked = global_rank(base, ["__h", id_col], out="__r").drop("__h")
     n = df.count()
     if n < 2:
         raise ValueError("permutation needs two rows or more")

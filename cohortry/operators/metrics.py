@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortry.operators.ranks import running_totals, unit_bucket
+from cohortry.operators.ranks import running_totals
 
 
 def _safe(num: Column, den: Column) -> Column:
@@ -70,11 +70,11 @@ def binary_rates(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ())
     )
 
 
-def score_curve(df: DataFrame, y: str, p: str, keys: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
+def score_curve(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """One row per (key, distinct score), descending: cumulative true and false
     positives and the totals of the key."""
     counted = df.select(*keys, F.col(p).alias("score"), F.col(y).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("n"))
-    run = running_totals(counted, unit_bucket(F.col("score"), buckets), "score", ["pos", "n"], keys, descending=True)
+    run = running_totals(counted, "score", ["pos", "n"], keys, descending=True)
     return run.select(
         *keys, "score", "pos", (F.col("n") - F.col("pos")).alias("neg"),
         F.col("cum_pos").alias("tp"), (F.col("cum_n") - F.col("cum_pos")).alias("fp"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.numeric import numeric_columns, string_columns
-from cohortry.operators.ranks import bucketed_rank, exact_quantiles, text_bucket
+from cohortry.operators.ranks import exact_quantiles, global_rank
 from cohortry.session import checkpoint
 
 MAX_DUMMY_CATEGORIES = 10_000
@@ -160,10 +160,9 @@ def fit_onehot(df: DataFrame, cols: Sequence[str]) -> OneHot:
 
 
 def ordinal_codes(df: DataFrame, col: str) -> DataFrame:
-    """value, code: alphabetical codes from 0, as a distributed table. The bucket is
-    the first two bytes of the value, so the order needs no single task."""
+    """value, code: alphabetical codes from 0, as a distributed table."""
     distinct = df.select(F.col(col).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
-    ranked = bucketed_rank(distinct, text_bucket(F.col("value")), ["value"], out="code")
+    ranked = global_rank(distinct, ["value"], out="code")
     return ranked.select("value", (F.col("code") - 1).cast("bigint").alias("code"))
 
 

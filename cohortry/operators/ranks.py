@@ -1,9 +1,9 @@
 """Global ranks, cumulative sums and exact quantiles without a one-task sort.
 
-Every operator here cuts the ordered axis into buckets first. A bucket is a
-monotone function of the order column, so a rank is `rows in lower buckets` (a
-tiny table) plus `position inside the bucket` (a window on key and bucket).
-A key that holds a third of all rows is spread over all its buckets.
+Ranks and cumulative sums cut the ordered axis into range partitions, whose bounds
+Spark samples from the data; what lies in lower partitions is a tiny table. Quantiles
+narrow a radix down to the wanted ranks. A key that holds a third of all rows is spread
+over as many partitions as its rows fill.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortry.session import checkpoint
+
 HASH_SPACE = 4294967296  # hashes are 32-bit
-_REL_WIDTH = 0.01  # relative width of one magnitude bucket
 
 
 def hash_bucket(h: Column, buckets: int) -> Column:
@@ -24,22 +25,16 @@ def hash_bucket(h: Column, buckets: int) -> Column:
     return F.floor(h / F.lit(HASH_SPACE / buckets)).cast("int")
 
 
-def unit_bucket(p: Column, buckets: int = 4096) -> Column:
-    """Slices of [0, 1] for probability scores."""
-    return F.floor(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * F.lit(float(buckets))).cast("int")
-
-
-def magnitude_bucket(x: Column) -> Column:
-    """Monotone bucket of any double: sign and logarithm of the magnitude."""
-    log_step = F.log(F.lit(1.0 + _REL_WIDTH))
-    mag = F.floor(F.log(F.least(F.greatest(F.abs(x), F.lit(1e-300)), F.lit(1e308))) / log_step).cast("int") + F.lit(80000)
-    return F.when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0))
-
-
-def text_bucket(x: Column) -> Column:
-    """Monotone bucket of a text: its first two bytes in UTF-8."""
-    head = F.rpad(F.hex(F.substring(F.encode(x, "UTF-8"), 1, 2)), 4, "0")
-    return F.conv(head, 16, 10).cast("int")
+def double_code(x: Column) -> Column:
+    """Monotone 43-bit code of any double: sign, exponent and the upper 31 bits of the
+    mantissa. Zero is 0, infinities share the code of the largest double."""
+    a = F.least(F.greatest(F.abs(x), F.lit(2.2250738585072014e-308)), F.lit(1.7976931348623157e308))
+    e = F.floor(F.log2(a)).cast("int")
+    m = a * F.pow(F.lit(2.0), -e)
+    # the logarithm may be off by one next to a power of two
+    e, m = e + F.when(m < 1, -1).when(m >= 2, 1).otherwise(0), F.when(m < 1, m * 2).when(m >= 2, m / 2).otherwise(m)
+    code = F.shiftleft((e + 1023).cast("bigint"), 31) + F.floor((m - 1) * F.lit(float(1 << 31))).cast("bigint")
+    return F.when(x > 0, code).when(x < 0, -code).otherwise(F.lit(0).cast("bigint"))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -53,57 +48,39 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def bucketed_rank(
-    df: DataFrame,
-    bucket: Column,
-    order: Sequence[Column | str],
-    keys: Sequence[str] = (),
-    out: str = "rank",
-    descending: bool = False,
-) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """1-based row number per key over `order`, ties to be broken by the caller.
 
-    `bucket` must be monotone in `order` (decreasing when `descending`)."""
+    One distributed sort, whose range partitions follow the data; it is kept, so the
+    input is evaluated once. A rank is the rows of the key in lower partitions plus the
+    place inside the own one."""
     keys = list(keys)
-    tagged = df.withColumn("__b", -bucket if descending else bucket)
-    by = keys + ["__b"]
-    sizes = tagged.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    inside = Window.partitionBy(*by).orderBy(*order)
-    ranked = tagged.withColumn("__in", F.row_number().over(inside))
-    # a frame that gives other rows when it is evaluated again must fail, not lose rows
-    joined = null_safe_join(ranked, offsets, by, "left")
-    off = F.coalesce("__off", F.raise_error(F.lit("the input changed between two evaluations; checkpoint it first")).cast("bigint"))
-    return joined.withColumn(out, (off + F.col("__in")).cast("bigint")).drop(
-        "__b", "__off", "__in"
-    )
-
-
-def running_totals(
-    df: DataFrame,
-    bucket: Column,
-    order: str,
-    sums: Sequence[str],
-    keys: Sequence[str] = (),
-    descending: bool = False,
-) -> DataFrame:
+    kept = checkpoint(df.orderBy(*keys, *order)).withColumn("__at", F.monotonically_increasing_id())
+    kept = kept.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    by = keys + ["__part"]
+    # one row per key and partition it lies in
+    sizes = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__off"))
+    joined = null_safe_join(kept, offsets, by)
+    return joined.withColumn(out, (F.col("__off") + F.col("__at")).cast("bigint")).drop("__part", "__off", "__at")
+
+
+def running_totals(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Cumulative sums over the distinct values of `order`, per key.
 
     Returns one row per (key, value) with `<s>`, its inclusive running total
-    `cum_<s>` and the total of the key `tot_<s>`."""
+    `cum_<s>` and the total of the key `tot_<s>`. The distinct values are dealt into
+    range partitions, summed inside, and raised by the totals of the partitions before."""
     keys = list(keys)
-    distinct = (
-        df.groupBy(*keys, order)
-        .agg(*[F.sum(s).alias(s) for s in sums])
-        .withColumn("__b", -bucket if descending else bucket)
-    )
-    by = keys + ["__b"]
     ordering = F.col(order).desc() if descending else F.col(order).asc()
+    distinct = df.groupBy(*keys, order).agg(*[F.sum(s).alias(s) for s in sums])
+    distinct = checkpoint(distinct.repartitionByRange(*keys, ordering)).withColumn("__part", F.spark_partition_id())
+    by = keys + ["__part"]
     inside = Window.partitionBy(*by).orderBy(ordering).rowsBetween(Window.unboundedPreceding, 0)
     part = distinct.select("*", *[F.sum(s).over(inside).alias(f"__in_{s}") for s in sums])
     sizes = distinct.groupBy(*by).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = sizes.select(
         *by,
@@ -128,9 +105,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, long form: keys, feature, q0, q1, ...
 
-    Pass 1 counts rows per magnitude bucket (partial aggregation, tiny result) and
-    finds the buckets that hold the wanted ranks. Pass 2 shuffles only the rows of
-    those buckets. NaN counts as null; infinities are the ends of the axis.
+    A radix search over an order-preserving code: pass 1 counts rows by sign, exponent
+    and ten bits of the mantissa and finds the buckets that hold the wanted ranks;
+    pass 2 folds the rows of those buckets to distinct values, finds the wanted
+    buckets of 21 further bits and ranks only the values inside. No window holds more
+    than 2^22 rows, however close together the values lie. NaN counts as null;
+    infinities are the ends of the axis.
     """
     keys = list(keys)
     long = df.select(
@@ -144,7 +124,8 @@ def exact_quantiles(
             )
         ).alias("__kv"),
     ).select(*keys, "__kv.feature", "__kv.v")
-    long = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("__b", magnitude_bucket(F.col("v")))
+    long = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("__c", double_code(F.col("v")))
+    long = long.withColumn("__b", F.shiftright("__c", 21))
     by = keys + ["feature"]
     hist = long.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     key_w = Window.partitionBy(*by)
@@ -168,14 +149,20 @@ def exact_quantiles(
     )
     need = hist.filter(wanted).select(*by, "__b", "__lo", "__tot")
     picked = null_safe_join(long, need, by + ["__b"])
-    values = picked.groupBy(*by, "__b", "v").agg(
-        F.count(F.lit(1)).alias("__c"),
-        F.first("__lo").alias("__lo"),
-        F.first("__tot").alias("__tot"),
+    values = picked.groupBy(*by, "__b", "__c", "v").agg(
+        F.count(F.lit(1)).alias("__k"), F.first("__lo").alias("__base"), F.first("__tot").alias("__tot")
+    )
+    # the finer buckets that hold the wanted ranks
+    fine = values.groupBy(*by, "__b", "__c").agg(
+        F.sum("__k").alias("__n"), F.first("__base").alias("__base"), F.first("__tot").alias("__tot")
     )
-    in_w = Window.partitionBy(*by, "__b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("__to", F.col("__lo") + F.sum("__c").over(in_w)).withColumn(
-        "__from", F.col("__to") - F.col("__c")
+    fine_w = Window.partitionBy(*by, "__b").orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)
+    fine = fine.withColumn("__hi", F.col("__base") + F.sum("__n").over(fine_w)).withColumn("__lo", F.col("__hi") - F.col("__n"))
+    fine = fine.filter(wanted).select(*by, "__c", "__lo")
+    values = null_safe_join(values.select(*by, "__c", "v", "__k", "__tot"), fine, by + ["__c"])
+    in_w = Window.partitionBy(*by, "__c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("__to", F.col("__lo") + F.sum("__k").over(in_w)).withColumn(
+        "__from", F.col("__to") - F.col("__k")
     )
 
     def at(r: Column) -> Column:

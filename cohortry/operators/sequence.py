@@ -5,19 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from cohortry.operators.ranks import bucketed_rank
+from cohortry.operators.ranks import global_rank
 
 
-def sequential_id(
-    df: DataFrame, axis: Column, order: Sequence[str | Column], out: str = "id", buckets: int = 1024
-) -> DataFrame:
-    """1..n in `order`. `axis` is the first order column as a number; equal slices
-    of its range (one footer-level min/max pass) are numbered independently."""
-    lo, hi = df.agg(F.min(axis), F.max(axis)).first()
-    if lo is None:
-        return df.withColumn(out, F.lit(None).cast("bigint"))
-    width = max((float(hi) - float(lo)) / buckets, 1e-12)
-    bucket = F.floor((axis.cast("double") - F.lit(float(lo))) / F.lit(width)).cast("int")
-    return bucketed_rank(df, F.coalesce(bucket, F.lit(-1)), order, out=out)
+def sequential_id(df: DataFrame, order: Sequence[str | Column], out: str = "id") -> DataFrame:
+    """1..n in `order`; wherever the rows crowd, the range partitions follow them."""
+    return global_rank(df, order, out=out)

@@ -9,7 +9,6 @@ from cohortry.functions import clinical as C
 from cohortry.functions import numeric as N
 from cohortry.functions import text as T
 from cohortry.operators import encode, longitudinal as L
-from cohortry.operators.ranks import bucketed_rank
 from cohortry.operators.sequence import sequential_id
 from cohortry.operators.lookup import literal_table, lookup
 from cohortry.plans import roles as R
@@ -119,7 +118,7 @@ def p06(spark, d):
 @query("p07_sequential_id", "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS patient_id, o_orderkey, o_orderdate FROM orders")
 def p07(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    return sequential_id(o, N.micros(F.col("o_orderdate")), ["o_orderdate", "o_orderkey"], "patient_id")
+    return sequential_id(o, ["o_orderdate", "o_orderkey"], "patient_id")
 
 
 @query(

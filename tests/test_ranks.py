@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import metrics as M
 from cohortry.operators import splits as S
-from cohortry.operators.ranks import exact_quantiles, magnitude_bucket
+from cohortry.operators.ranks import double_code, exact_quantiles, global_rank, running_totals
 from cohortry.operators.sequence import sequential_id
 
 floats = st.floats(-1e9, 1e9, allow_nan=False)
@@ -29,12 +29,58 @@ def test_quantiles_by_key_with_nulls(spark):
 
 def test_bucket_is_monotone(spark):
     rng = np.random.default_rng(0)
-    x = np.sort(np.r_[rng.normal(0, 1e6, 500), rng.normal(0, 1e-6, 500), 0.0, -0.0])
+    x = np.sort(np.r_[rng.normal(0, 1e6, 500), rng.normal(0, 1e-6, 500), 0.0, -0.0, -np.inf, np.inf, 5e-324, -1e308, 1e308, 2.0**-1022, *(2.0 ** np.arange(-60, 60)), *(2.0 ** np.arange(-60, 60) * (1 - 2**-53))])
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double")
-    b = [r[0] for r in df.orderBy("i").select(magnitude_bucket(F.col("v"))).collect()]
+    b = [r[0] for r in df.orderBy("i").select(double_code(F.col("v"))).collect()]
     assert b == sorted(b)
 
 
+def test_quantiles_of_values_close_together(spark):
+    """Epoch seconds, and values that differ in the last bits only."""
+    base = 1.7e9
+    v = np.r_[base + np.arange(1000) * 7 % 911, [base + k * 2.0**-22 for k in range(50)]]
+    w = np.r_[1 - np.arange(1000) * 1e-9, np.full(50, 1.0)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(v, w, strict=True)], "v double, w double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    for r in exact_quantiles(df, ["v", "w"], probs).collect():
+        want = np.quantile({"v": v, "w": w}[r["feature"]], probs)
+        assert np.allclose([r[f"q{i}"] for i in range(len(probs))], want, rtol=1e-15)
+
+
+def test_codes_tell_close_values_apart(spark):
+    """The buckets of the second pass hold few values where the first has one bucket."""
+    df = spark.range(100_000).select((F.col("id") + 1.7e9).alias("v")).withColumn("c", double_code(F.col("v")))
+    assert df.select(F.shiftright("c", 21)).distinct().count() <= 2
+    assert df.groupBy("c").count().agg(F.max("count")).first()[0] == 1
+
+
+def _largest_share(df, part):
+    n = [r["count"] for r in df.groupBy(part).count().collect()]
+    return max(n) / sum(n)
+
+
+def test_crowded_axes_are_spread(spark):
+    """Rare-event scores, a common prefix and one large key: ranks are right, and range
+    partitions share the rows."""
+    df = spark.range(4000).select(
+        F.concat(F.lit("Customer#000"), F.format_string("%06d", "id")).alias("t"),
+        F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise("k").alias("k"), (1 - F.col("id") / 1e9).alias("p"),
+    )
+    ranked = global_rank(df, ["t"])
+    assert [r["rank"] for r in ranked.orderBy("t").collect()] == list(range(1, 4001))
+    assert _largest_share(df.repartitionByRange(8, "t"), F.spark_partition_id()) < 0.5
+    per = global_rank(df, ["p"], ["k"]).orderBy("k", "p").select("k", "rank").collect()
+    assert [r["rank"] for r in per] == [*range(1, 801), *range(1, 3201)]
+    run = running_totals(df.withColumn("n", F.lit(1)), "p", ["n"], ["k"], descending=True).orderBy("k", F.desc("p")).collect()
+    assert [r["cum_n"] for r in run] == [*range(1, 801), *range(1, 3201)] and {r["tot_n"] for r in run} == {800, 3200}
+
+
+def test_ranks_of_nothing(spark):
+    none = spark.createDataFrame([], "k string, v double")
+    assert global_rank(none, ["v"], ["k"]).count() == 0 and exact_quantiles(none, ["v"], [0.5]).count() == 0
+    assert running_totals(none.withColumn("n", F.lit(1)), "v", ["n"]).count() == 0
+
+
 def test_auc_ties_single_class_and_bounds(spark):
     rows = [("m", 1, 0.0), ("m", 0, 0.5), ("m", 1, 0.5), ("m", 0, 1.0), ("m", 1, 1.0), ("one", 1, 0.3)]
     got = {r["k"]: r for r in M.ranking_scores(spark.createDataFrame(rows, "k string, y int, p double"), "y", "p", ["k"]).collect()}
@@ -77,7 +123,7 @@ def test_kfold_sizes(spark):
 
 def test_sequential_id(spark):
     df = spark.createDataFrame([(5,), (1,), (5,), (9,)], "v long").withColumn("t", F.monotonically_increasing_id())
-    got = [r["id"] for r in sequential_id(df, F.col("v"), ["v", "t"]).orderBy("v", "t").collect()]
+    got = [r["id"] for r in sequential_id(df, ["v", "t"]).orderBy("v", "t").collect()]
     assert got == [1, 2, 3, 4]
 
 
