@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortry.operators.ranks import running_totals
+from cohortry.operators.ranks import running_totals, small_side
 
 
 def _safe(num: Column, den: Column) -> Column:
@@ -142,7 +142,7 @@ def expected_calibration_error(df: DataFrame, y: str, p: str, keys: Sequence[str
 def score_histogram(df: DataFrame, y: str, p: str, bins: int = 20) -> DataFrame:
     """Counts per class in equal bins between the smallest and largest score of the class."""
     span = df.groupBy(y).agg(F.min(p).alias("lo"), F.max(p).alias("hi"))
-    j = df.select(y, p).join(span, y)
+    j = df.select(y, p).join(small_side(span), y)
     width = F.col("hi") - F.col("lo")
     pos = F.when(width > 0, F.floor((F.col(p) - F.col("lo")) / width * bins)).otherwise(F.lit(0))
     return j.groupBy(y, F.least(pos, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

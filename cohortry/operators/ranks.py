@@ -37,6 +37,13 @@ def double_code(x: Column) -> Column:
     return F.when(x > 0, code).when(x < 0, -code).otherwise(F.lit(0).cast("bigint"))
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A side table of a join, kept and counted: broadcast up to `rows` rows, so that the
+    other side is not shuffled on what may be a few keys; joined as it is beyond."""
+    kept = checkpoint(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys; right key columns are dropped."""
     if not keys:

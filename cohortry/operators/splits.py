@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortry.functions.seeded import seeded_hash
-from cohortry.operators.ranks import hash_bucket, null_safe_join
+from cohortry.operators.ranks import hash_bucket, null_safe_join, small_side
 
 Ends = Callable[[Column], Sequence[Column]]
 
@@ -25,7 +25,8 @@ def rank_thresholds(
     df: DataFrame, h: str, ids: Sequence[str], ends: Ends, keys: Sequence[str] = (), buckets: int = 4096
 ) -> DataFrame:
     """keys, t0, t1, ...: t_i is the (hash, ids) of the row at rank ends(n)[i] of its
-    key, null where that rank is 0."""
+    key, null where that rank is 0. The hash is narrowed in two steps, bucket and value,
+    so that no window holds more than `buckets` or 2^32 / `buckets` rows."""
     keys = list(keys)
     tagged = df.select(*keys, h, *ids, hash_bucket(F.col(h), buckets).alias("__b"))
     hist = tagged.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
@@ -40,8 +41,13 @@ def rank_thresholds(
     ).filter((F.col("__end") > F.col("__lo")) & (F.col("__end") <= F.col("__hi")))
     need = need.select(*keys, "__b", "__i", (F.col("__end") - F.col("__lo")).alias("__pos"))
     picked = null_safe_join(tagged, need, keys + ["__b"])
-    w = Window.partitionBy(*keys, "__b", "__i").orderBy(h, *ids)
-    at = picked.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == F.col("__pos"))
+    hashes = picked.groupBy(*keys, "__b", "__i", "__pos", h).agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(*keys, "__b", "__i").orderBy(h).rowsBetween(Window.unboundedPreceding, 0)
+    hashes = hashes.withColumn("__past", F.sum("__c").over(upto)).withColumn("__rest", F.col("__pos") - F.col("__past") + F.col("__c"))
+    hashes = hashes.filter((F.col("__rest") > 0) & (F.col("__pos") <= F.col("__past"))).select(*keys, "__b", "__i", h, "__rest")
+    at = null_safe_join(picked, hashes, [*keys, "__b", "__i", h])
+    w = Window.partitionBy(*keys, "__b", "__i").orderBy(*ids)
+    at = at.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == F.col("__rest"))
     point = F.struct(h, *ids)
     return at.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, point)).alias(f"t{i}") for i in range(len(bounds))])
 
@@ -56,7 +62,7 @@ def assign_shares(
     n = len(labels)
     point = F.struct("__h", *ids)
     if keys:
-        joined = null_safe_join(tagged, th, keys, "left")
+        joined = null_safe_join(tagged, small_side(th), keys, "left")
     else:  # one row of thresholds becomes literals
         row = th.first()
         joined = tagged

@@ -130,3 +130,24 @@ def test_sequential_id(spark):
 def test_null_injection_is_exact(spark):
     df = spark.range(200).withColumn("v", F.lit(1.0))
     assert S.inject_nulls(df, ["id"], ["v"], 0.05).filter("v IS NULL").count() == 10
+
+
+def test_strata_are_not_shuffled_on(spark):
+    """Labelling rows by stratum needs no exchange of the rows on the stratum."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).withColumn("y", F.col("id") % 3)
+        out = S.split(df, ["id"], "y")
+        assert "Exchange hashpartitioning(y" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.count() == 2000
+
+
+def test_thresholds_with_equal_hashes(spark):
+    """Rows that share a hash are told apart by their ids."""
+    df = spark.range(90).select("id", (F.col("id") % 3).cast("bigint").alias("h"))
+    got = S.rank_thresholds(df, "h", ["id"], lambda n: [n * 0, n * 0 + 1, n / 2, n]).first()
+    ranked = sorted((r["h"], r["id"]) for r in df.collect())
+    assert got["t0"] is None
+    assert [tuple(got[f"t{i}"]) for i in (1, 2, 3)] == [ranked[0], ranked[44], ranked[89]]
