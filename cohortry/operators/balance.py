@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cohortry.functions.seeded import seeded_hash, seeded_uniform
 from cohortry.operators.knn import BLOCK_ROWS, euclidean, nearest
-from cohortry.operators.ranks import null_safe_join
+from cohortry.operators.ranks import global_rank, null_safe_join, small_side
 from cohortry.operators.splits import rank_thresholds
+from cohortry.session import checkpoint
 
 
 def class_counts(df: DataFrame, y: str) -> DataFrame:
@@ -27,18 +27,15 @@ def imbalance(df: DataFrame, y: str, threshold: float = 3.0) -> DataFrame:
 
 def class_weights(df: DataFrame, y: str) -> DataFrame:
     """weight = n / (classes * n_class), one row per class."""
-    whole = Window.partitionBy()  # over the class rows
-    c = class_counts(df, y)
-    return c.select(y, "n", (F.sum("n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("n"))).alias("weight"))
+    c = checkpoint(class_counts(df, y))
+    whole = c.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k")).first()
+    return c.select(y, "n", (F.lit(whole["n"]) / (F.lit(whole["k"]) * F.col("n"))).alias("weight"))
 
 
 def with_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
-    """Weight column for learners that take one; the weights become literals."""
-    rows = class_weights(df, y).collect()  # one row per class
-    expr: Column = F.lit(1.0)
-    for r in rows:
-        expr = F.when(F.col(y) == F.lit(r[y]), F.lit(r["weight"])).otherwise(expr)
-    return df.withColumn(out, expr)
+    """Weight column for learners that take one; rows without a label weigh 1."""
+    side = small_side(class_weights(df, y).select(F.col(y).alias("__y"), F.col("weight").alias("__w")))
+    return df.join(side, F.col(y) == F.col("__y"), "left").withColumn(out, F.coalesce("__w", F.lit(1.0))).drop("__y", "__w")
 
 
 def smote(
@@ -51,26 +48,21 @@ def smote(
     ones by seeded hash; neighbour and step are seeded as well. Only classes below
     the largest are searched, each inside itself."""
     rows = df.filter(F.col(y).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).alias("vec"), F.col(y).alias("y"))
-    counts = {r["y"]: r["n"] for r in class_counts(rows, "y").collect()}  # one row per class
-    if not counts:
+    counts = checkpoint(class_counts(rows, "y"))
+    most, least = counts.agg(F.max("n"), F.min("n")).first()
+    if most is None:
         raise ValueError("no labelled rows")
-    most, least = max(counts.values()), min(counts.values())
     k = min(k, max(least - 1, 1))
-    small = sorted(c for c, n in counts.items() if n < most)
-    grp = F.lit(None).cast("int")
-    reps, extra, size = F.lit(0), F.lit(0), F.lit(0)
-    for i, c in enumerate(small):
-        here = F.col("y") == F.lit(c)
-        grp = F.when(here, F.lit(i)).otherwise(grp)
-        reps = F.when(here, F.lit((most - counts[c]) // counts[c])).otherwise(reps)
-        extra = F.when(here, F.lit((most - counts[c]) % counts[c])).otherwise(extra)
-        size = F.when(here, F.lit(min(k, counts[c] - 1))).otherwise(size)
-    base = rows.withColumn("grp", grp).filter(F.col("grp").isNotNull())
-    base = base.withColumns({"__reps": reps, "__extra": extra, "__k": size, "h": seeded_hash(str(seed), "id")})
+    missing = F.lit(most) - F.col("n")
+    small = global_rank(counts.filter(F.col("n") < most), ["y"], out="grp").select(
+        "y", F.col("grp").cast("int").alias("grp"), F.floor(missing / F.col("n")).cast("bigint").alias("__reps"),
+        (missing % F.col("n")).alias("__extra"), F.least(F.lit(k), F.col("n") - 1).cast("int").alias("__k"),
+    )
+    small = small_side(small)
+    base = rows.join(small, "y").withColumn("h", seeded_hash(str(seed), "id"))
     # the remainder: one threshold per class
-    ends = [(most - counts[c]) % counts[c] for c in small]
-    end_of = F.array(*[F.lit(e) for e in ends]) if ends else F.array(F.lit(0))
-    th = rank_thresholds(base, "h", ["id"], lambda n: [F.element_at(end_of, F.col("grp") + 1)], ["grp"])
+    th = rank_thresholds(base, "h", ["id"], lambda n: [F.col("__extra")], ["grp", "__extra"]).drop("__extra")
+    th = small_side(th)
     base = null_safe_join(base, th, ["grp"], "left")
     more = F.coalesce(F.struct("h", "id") <= F.col("t0"), F.lit(False)).cast("int")
     base = base.withColumn("__n", F.col("__reps") + more).filter("__n > 0")
@@ -79,7 +71,7 @@ def smote(
     )
     pick = F.when(F.col("__k") > 0, F.pmod(seeded_hash(f"n{seed}", "id", "copy"), F.greatest("__k", F.lit(1))) + 1)
     copies = copies.withColumns({"rank": pick.cast("int"), "u": seeded_uniform(f"u{seed}", "id", "copy")})
-    members = rows.withColumn("grp", grp).filter(F.col("grp").isNotNull())
+    members = rows.join(small.select("y", "grp"), "y")
     # only rows that are copied need neighbours
     asking = members.join(base.select("id").distinct(), "id", "left_semi")
     near = nearest(

@@ -16,6 +16,7 @@ from cohortry.functions.numeric import numeric_columns, string_columns
 from cohortry.operators.lookup import literal_table
 from cohortry.operators.preprocess import long_form
 from cohortry.operators.ranks import exact_quantiles
+from cohortry.session import checkpoint
 
 TARGET_NAMES = ("target", "diagnosis", "label", "class")
 
@@ -157,21 +158,22 @@ def target_distribution(df: DataFrame, target: str | None = None, warn_ratio: fl
     target = target or find_target(df.columns)
     if target is None:
         raise ValueError(f"no target column among {', '.join(TARGET_NAMES)}")
-    counts = df.groupBy(F.col(target).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy()  # over the few class rows
-    ratio = F.max("n").over(whole) / F.greatest(F.min("n").over(whole), F.lit(1))
+    counts = checkpoint(df.groupBy(F.col(target).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    whole = counts.agg(F.max("n").alias("hi"), F.min("n").alias("lo"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).first()
+    of_all = {c: F.lit(whole[c]).cast("bigint") for c in ("hi", "lo", "all", "k")}  # one row, whatever the number of values
     out = counts.select(
-        "value", "n", (F.col("n") / F.sum("n").over(whole)).alias("share"), F.round(ratio, 4).alias("imbalance_ratio"),
-        F.count(F.lit(1)).over(whole).alias("n_values"),
+        "value", "n", (F.col("n") / of_all["all"]).alias("share"), F.round(of_all["hi"] / of_all["lo"], 4).alias("imbalance_ratio"),
+        of_all["k"].alias("n_values"),
     )
     warn = F.lit(False) if warn_ratio is None else (F.col("n_values") >= 2) & (F.col("imbalance_ratio") >= warn_ratio)
     return out.withColumn("imbalance_warning", warn)
 
 
 def class_percentages(df: DataFrame, target: str) -> DataFrame:
-    """Count and percentage per class; the total is a window over the class rows."""
-    counts = df.groupBy(F.col(target).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("percentage", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    """Count and percentage per class; there may be many classes."""
+    counts = checkpoint(df.groupBy(F.col(target).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0]
+    return counts.withColumn("percentage", F.col("n") * 100.0 / F.lit(total))
 
 
 class FeatureMismatch(ValueError):
