@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from cohortry.session import checkpoint
 
 
 PAIR_LIMIT = 1_000_000  # point pairs a pair of boxes may compare
-MAX_LEVELS = 40
+KEY_DIMS = 3  # leading dimensions by which neighbours are looked up
 
 
 def kmeans_cohorts(emb: DataFrame, id_col: str, k: int = 5, n_init: int = 10, seed: int = 42, vec: str = "vec") -> DataFrame:
@@ -38,8 +38,7 @@ def _cell(vec: str, d: int, side: float) -> Column:
 
 
 def dbscan(
-    emb: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5, vec: str = "vec", max_dims: int = 6, max_rounds: int = 60,
-    pair_limit: int = PAIR_LIMIT,
+    emb: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5, vec: str = "vec", pair_limit: int = PAIR_LIMIT
 ) -> DataFrame:
     """id, cohort: density clusters, noise -1, clusters numbered by their lowest core id.
 
@@ -49,33 +48,43 @@ def dbscan(
     cells, not over point pairs: a hot cell is one node whatever its size. Two cells
     with core points are linked when some cores of them lie within eps, which boxes
     settle before points are compared (`_cell_links`). Copies are collapsed first.
+
+    Any number of dimensions will do: neighbours are looked up on a coarse grid over the
+    first `KEY_DIMS` of them (after a projection those of the largest variance), which
+    loses none, and are then told by their distance in all. Ids are numbers or texts.
     """
     first = emb.select(F.size(vec).alias("d")).first()
     if first is None:
         return emb.select(id_col, F.lit(-1).cast("bigint").alias("cohort"))
     d = first["d"]
-    if d > max_dims:
-        raise ValueError(f"{d} dimensions; project to at most {max_dims} first")
     side = eps / d**0.5 * (1 - 1e-12)
     pts = emb.select(F.col(id_col).alias("id"), F.col(vec).alias("vec")).withColumn("cell", _cell("vec", d, side))
     # distinct positions with their weight
     pos = checkpoint(pts.groupBy("cell", "vec").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("low")))
     sizes = pos.groupBy("cell").agg(F.sum("w").alias("cell_n"))
-    reach = int(d**0.5) + 1
-    offsets = [o for o in product(range(-reach, reach + 1), repeat=d) if sum(max(abs(x) - 1, 0) ** 2 for x in o) * side * side <= eps * eps]
-    shifts = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in o]) for o in offsets])
+    # corners of cells with points within eps differ by less than this in each dimension
+    width = (eps + side) * (1 + 1e-9)
+
+    def keyed(df: DataFrame, cell: str) -> DataFrame:
+        """Adds the coarse grid cell as the columns k0, k1, ..."""
+        return df.withColumns({f"k{j}": F.floor(F.element_at(cell, j + 1) * F.lit(side / width)) for j in range(min(d, KEY_DIMS))})
+
+    keys = [f"k{j}" for j in range(min(d, KEY_DIMS))]
 
-    def around(df: DataFrame, name: str) -> DataFrame:
-        near = df.withColumn("__o", F.explode(shifts))
-        return near.withColumn(name, F.zip_with("cell", "__o", lambda a, b: a + b)).drop("__o")
+    def around(df: DataFrame) -> DataFrame:
+        """One row per coarse cell next to the own one."""
+        df = keyed(df, "cell")
+        for k in keys:
+            df = df.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
+        return df
 
     limit = F.lit(eps * eps * (1 + 1e-12))
     # sparse cells: weigh the neighbours of each position
     marked = pos.join(sizes, "cell")
-    sparse = around(marked.filter(F.col("cell_n") < min_samples).select("cell", "vec"), "ncell")
-    other = pos.select(F.col("cell").alias("ncell"), F.col("vec").alias("nvec"), "w")
+    sparse = around(marked.filter(F.col("cell_n") < min_samples).select("cell", "vec"))
+    other = keyed(pos.select(F.col("cell").alias("ncell"), F.col("vec").alias("nvec"), "w"), "ncell")
     counts = (
-        sparse.join(other, "ncell").filter(_squared_distance(F.col("vec"), F.col("nvec")) <= limit)
+        sparse.join(other, keys).filter(_squared_distance(F.col("vec"), F.col("nvec")) <= limit)
         .groupBy("cell", "vec").agg(F.sum("w").alias("nn"))
     )
     sparse_core = counts.filter(F.col("nn") >= min_samples).select("cell", "vec")
@@ -83,16 +92,19 @@ def dbscan(
     core = checkpoint(dense_core.unionByName(sparse_core).join(pos.select("cell", "vec", "low"), ["cell", "vec"]))
     nodes = core.groupBy("cell").agg(F.min("low").alias("label"))
     # links between cells that hold cores
-    cells = around(nodes.select("cell"), "ncell").join(nodes.select(F.col("cell").alias("ncell")), "ncell").filter(F.col("cell") < F.col("ncell"))
+    steps = F.zip_with("cell", "ncell", lambda a, b: F.greatest(F.abs(a - b) - 1, F.lit(0)) * F.lit(side))
+    gap = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x * x)
+    cells = around(nodes.select("cell")).join(keyed(nodes.select(F.col("cell").alias("ncell")), "ncell"), keys)
+    cells = cells.filter((F.col("cell") < F.col("ncell")) & (gap <= limit)).select("cell", "ncell")
     links = _cell_links(cells, core.select("cell", "vec"), d, side, eps, pair_limit)
     links = checkpoint(links.unionByName(links.select(F.col("ncell").alias("cell"), F.col("cell").alias("ncell"))))
-    labels = connected_labels(nodes, links, max_rounds)
+    labels = connected_labels(nodes, links)
     # borders join the lowest cluster in reach
     core_l = core.join(labels, "cell").select("cell", "vec", "label")
     rest = pos.select("cell", "vec").join(core.select("cell", "vec"), ["cell", "vec"], "left_anti")
-    target = core_l.select(F.col("cell").alias("ncell"), F.col("vec").alias("nvec"), "label")
+    target = keyed(core_l.select(F.col("cell").alias("ncell"), F.col("vec").alias("nvec"), "label"), "ncell")
     border = (
-        around(rest, "ncell").join(target, "ncell").filter(_squared_distance(F.col("vec"), F.col("nvec")) <= limit)
+        around(rest).join(target, keys).filter(_squared_distance(F.col("vec"), F.col("nvec")) <= limit)
         .groupBy("cell", "vec").agg(F.min("label").alias("label"))
     )
     found = core_l.unionByName(border.select("cell", "vec", "label"))
@@ -117,7 +129,7 @@ def _cell_links(cells: DataFrame, core: DataFrame, d: int, side: float, eps: flo
         .select("cell", "ncell", F.col("cell").alias("a"), F.col("ncell").alias("b"), "n", "m")
     )
     found = None
-    for level in range(MAX_LEVELS):
+    for level in count():  # copies are collapsed, so boxes end up with one position each
         open_pairs = checkpoint(open_pairs)
         boxed = core.withColumn("box", _cell("vec", d, side / 2**level))
         small = open_pairs.filter(F.col("n") * F.col("m") <= pair_limit).select("cell", "ncell", "a", "b")
@@ -143,15 +155,14 @@ def _cell_links(cells: DataFrame, core: DataFrame, d: int, side: float, eps: flo
         fresh = hit.unionByName(sure).distinct()
         found = checkpoint(fresh if found is None else found.unionByName(fresh).distinct())
         open_pairs = fine.drop("near", "far").join(found, ["cell", "ncell"], "left_anti")
-    raise RuntimeError("cells could not be separated")
 
 
-def connected_labels(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """cell, label: smallest label of each component. Every round takes the smallest
     label among the neighbours and then jumps to the label of that label's owner, so
     long chains shorten quickly; state is checkpointed between rounds."""
     state = checkpoint(nodes.select("cell", "label", F.col("label").alias("own")))
-    for _ in range(max_rounds):
+    while True:
         seen = links.join(state.select(F.col("cell").alias("ncell"), F.col("label").alias("nlabel")), "ncell")
         best = seen.groupBy("cell").agg(F.min("nlabel").alias("nlabel"))
         new = state.join(best, "cell", "left").select(
@@ -165,7 +176,6 @@ def connected_labels(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -
         if new.filter(F.col("label") != F.col("old")).isEmpty():
             return new.select("cell", "label")
         state = new.select("cell", "label", "own")
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
 def cohort_profiles(df: DataFrame, cohort: str, id_col: str) -> DataFrame:

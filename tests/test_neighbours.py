@@ -111,6 +111,18 @@ def test_dbscan_matches_brute_force(spark, pair_limit):
     assert [r["cohort"] for r in got] == brute_dbscan(x, 0.5, 3)
 
 
+def test_dbscan_of_ten_dimensions(spark):
+    """A dense hot cell, a chain, copies and noise beyond the looked-up dimensions."""
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.normal(0, 0.03, (80, 10)), rng.normal(0, 0.2, (60, 10)), np.full((20, 10), 2.0), rng.uniform(-1, 1, (40, 10))]
+    chain = np.zeros((25, 10))
+    chain[:, 9] = np.arange(25) * 0.2 + 3  # differs in the last dimension only
+    x = np.r_[x[rng.permutation(len(x))], chain]
+    got = C.dbscan(frame(spark, x, "id"), "id", 0.5, 4, pair_limit=500).orderBy("id").collect()
+    want = brute_dbscan(x, 0.5, 4)
+    assert [r["cohort"] for r in got] == want and max(want) >= 2 and -1 in want
+
+
 def test_dbscan_all_noise(spark):
     x = np.arange(10)[:, None] * 5.0
     assert {r["cohort"] for r in C.dbscan(frame(spark, x, "id"), "id", 0.5, 2).collect()} == {-1}
