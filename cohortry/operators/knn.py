@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortry.functions.seeded import seeded_hash
+from cohortry.operators.ranks import small_side
 from cohortry.session import checkpoint
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
 SCORE_DIGITS = 12  # scores are rounded before ranking, so equal pairs tie on every engine
 
 
@@ -187,10 +187,13 @@ def _pivot_columns(df: DataFrame, pivots: np.ndarray, want_all: bool) -> DataFra
         for f in frames:
             if not len(f):
                 continue
-            d = np.sqrt(_accumulate(_stack(f["vec"]), pivots, squared=True)[0])
-            cell = d.argmin(axis=1)
-            f = f.assign(cell=cell.astype("int32"), dist=d[np.arange(len(f)), cell])
-            yield f.assign(dists=list(d)) if want_all else f
+            step = max(1, (1 << 20) // len(pivots))
+            for at in range(0, len(f), step):
+                part = f.iloc[at : at + step]
+                d = np.sqrt(_accumulate(_stack(part["vec"]), pivots, squared=True)[0])
+                cell = d.argmin(axis=1)
+                part = part.assign(cell=cell.astype("int32"), dist=d[np.arange(len(part)), cell])
+                yield part.assign(dists=list(d)) if want_all else part
 
     return df.mapInPandas(run, schema)
 
@@ -260,9 +263,8 @@ def nearest(
     if m is None and metric.best is None:
         m = 1
     n = corpus.count() if m is None or (m <= 1 and not grouped) else 0
-    if m is None:
-        # a second pass pays off only beyond a few hundred tiles
-        m = 1 if n <= 16 * block_rows else min(MAX_PIVOTS, int(math.sqrt(n) / 2))
+    if m is None:  # cells and their number grow alike
+        m = max(2, math.isqrt(n) // 2)
     if m <= 1:
         one = F.lit(0)
         sizes = None if grouped else (queries.count(), n)
@@ -285,13 +287,15 @@ def _pruned(q1, c1, need, metric, floor, block_rows, m, seed) -> DataFrame:
     d = pv.shape[1]
     # both sides are read by both passes: keep them once they have their cells
     c = checkpoint(_pivot_columns(c1, pv, False))
-    q = checkpoint(_pivot_columns(q1, pv, True))
+    q = checkpoint(_pivot_columns(q1, pv, False))
     # first pass: own cell
     own = top_k(_join_blocks(q.select("qid", "vec", "grp", "cell"), c.select("cid", "vec", "grp", "cell"), metric, need, floor, block_rows), need)
     own = checkpoint(own)
     kth = own.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
     low = F.lit(float("-inf") if floor is None else float(floor))
     bound = q.join(kth, "qid", "left").withColumn("kth", F.when(F.col("n") >= need, F.col("kth")).otherwise(low))
+    # the distances to all pivots are made on the way to the filter, not stored
+    bound = _pivot_columns(bound.drop("dist", "n").withColumnRenamed("cell", "home"), pv, True)
     # one row per group: radii of its cells, as arrays indexed by cell
     radii = c.groupBy("grp", "cell").agg(F.max("dist").alias("hi"), F.min("dist").alias("lo"))
     cells = radii.groupBy("grp").agg(F.collect_list(F.struct("cell", "lo", "hi")).alias("cells"))
@@ -303,8 +307,7 @@ def _pruned(q1, c1, need, metric, floor, block_rows, m, seed) -> DataFrame:
         gap = F.greatest(dist - c["hi"], c["lo"] - dist, F.lit(0.0)) - F.lit(1e-9)
         return (c["cell"] != F.col("home")) & (metric.best(F.greatest(gap, F.lit(0.0)), d) >= F.col("kth") - F.lit(1e-9))
 
-    reach = bound.join(cells, "grp").withColumnRenamed("cell", "home")
-    reach = reach.select("qid", "vec", "grp", F.explode(F.filter("cells", reachable)["cell"]).alias("cell"))
+    reach = bound.join(small_side(cells), "grp").select("qid", "vec", "grp", F.explode(F.filter("cells", reachable)["cell"]).alias("cell"))
     more = _join_blocks(reach.select("qid", "vec", "grp", "cell"), c.select("cid", "vec", "grp", "cell"), metric, need, floor, block_rows)
     return top_k(own.select("qid", "cid", "score").unionByName(more), need)
 
