@@ -66,10 +66,11 @@ def _cosine(q, c, dt):
 class Metric:
     """score(q, c): higher is better. best(dist, d): the highest score possible at a
     Euclidean distance of at least `dist`, as a column, or None when distance bounds
-    nothing."""
+    nothing. With `unit` that distance is the one of the vectors scaled to length 1."""
 
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
     best: Callable[[Column, int], Column] | None = None
+    unit: bool = False
 
 
 def euclidean() -> Metric:
@@ -80,7 +81,8 @@ def euclidean() -> Metric:
 
 
 def cosine() -> Metric:
-    return Metric(lambda q, c: _cosine(q, c, _accumulate(q, c, dot=True)[2]))
+    # of unit vectors, cosine = 1 - dist^2 / 2; a zero vector scores 0, which is below
+    return Metric(lambda q, c: _cosine(q, c, _accumulate(q, c, dot=True)[2]), lambda dist, d: 1 - dist * dist / 2, unit=True)
 
 
 # Default metric weights.
@@ -179,7 +181,12 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 
 # ------------------------------------------------------------------- the join
-def _pivot_columns(df: DataFrame, pivots: np.ndarray, want_all: bool) -> DataFrame:
+def _scaled(x: np.ndarray, unit: bool) -> np.ndarray:
+    n = _norms(x)[:, None] if unit else 1.0
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0) if unit else x
+
+
+def _pivot_columns(df: DataFrame, pivots: np.ndarray, want_all: bool, unit: bool = False) -> DataFrame:
     """Adds cell (nearest pivot), dist, and for queries the distances to all pivots."""
     schema = df.schema.simpleString()[len("struct<") : -1] + ",cell int,dist double" + (",dists array<double>" if want_all else "")
 
@@ -190,7 +197,7 @@ def _pivot_columns(df: DataFrame, pivots: np.ndarray, want_all: bool) -> DataFra
             step = max(1, (1 << 20) // len(pivots))
             for at in range(0, len(f), step):
                 part = f.iloc[at : at + step]
-                d = np.sqrt(_accumulate(_stack(part["vec"]), pivots, squared=True)[0])
+                d = np.sqrt(_accumulate(_scaled(_stack(part["vec"]), unit), pivots, squared=True)[0])
                 cell = d.argmin(axis=1)
                 part = part.assign(cell=cell.astype("int32"), dist=d[np.arange(len(part)), cell])
                 yield part.assign(dists=list(d)) if want_all else part
@@ -264,7 +271,7 @@ def nearest(
         m = 1
     n = corpus.count() if m is None or (m <= 1 and not grouped) else 0
     if m is None:  # cells and their number grow alike
-        m = max(2, math.isqrt(n) // 2)
+        m = max(2, math.isqrt(n) // 2) if n else 1
     if m <= 1:
         one = F.lit(0)
         sizes = None if grouped else (queries.count(), n)
@@ -284,10 +291,11 @@ def nearest(
 def _pruned(q1, c1, need, metric, floor, block_rows, m, seed) -> DataFrame:
     head = c1.select("vec", "cid").orderBy(seeded_hash(seed, "cid"), "cid").limit(m).select("vec").collect()  # m vectors
     pv = np.array([list(r["vec"]) for r in head], dtype="float64")
-    d = pv.shape[1]
+    d, unit = pv.shape[1], metric.unit
+    pv = _scaled(pv, unit)
     # both sides are read by both passes: keep them once they have their cells
-    c = checkpoint(_pivot_columns(c1, pv, False))
-    q = checkpoint(_pivot_columns(q1, pv, False))
+    c = checkpoint(_pivot_columns(c1, pv, False, unit))
+    q = checkpoint(_pivot_columns(q1, pv, False, unit))
     # first pass: own cell
     own = top_k(_join_blocks(q.select("qid", "vec", "grp", "cell"), c.select("cid", "vec", "grp", "cell"), metric, need, floor, block_rows), need)
     own = checkpoint(own)
@@ -295,7 +303,7 @@ def _pruned(q1, c1, need, metric, floor, block_rows, m, seed) -> DataFrame:
     low = F.lit(float("-inf") if floor is None else float(floor))
     bound = q.join(kth, "qid", "left").withColumn("kth", F.when(F.col("n") >= need, F.col("kth")).otherwise(low))
     # the distances to all pivots are made on the way to the filter, not stored
-    bound = _pivot_columns(bound.drop("dist", "n").withColumnRenamed("cell", "home"), pv, True)
+    bound = _pivot_columns(bound.drop("dist", "n").withColumnRenamed("cell", "home"), pv, True, unit)
     # one row per group: radii of its cells, as arrays indexed by cell
     radii = c.groupBy("grp", "cell").agg(F.max("dist").alias("hi"), F.min("dist").alias("lo"))
     cells = radii.groupBy("grp").agg(F.collect_list(F.struct("cell", "lo", "hi")).alias("cells"))

@@ -54,6 +54,26 @@ def test_k_larger_than_corpus(spark):
     assert K.nearest(frame(spark, x), frame(spark, x, "cid"), 10, K.cosine()).count() == 6
 
 
+@pytest.mark.parametrize("pivots", [None, 1, 7])
+def test_cosine_with_bound(spark, pivots):
+    """Scaled copies, opposite vectors and zero vectors, through the cells."""
+    x = points(150, 4)
+    x[100:110] = x[60:70] * 3.0
+    x[110:115] = -x[60:65]
+    x[115:118] = 0.0
+    have = {}
+    for r in K.nearest(frame(spark, x), frame(spark, x, "cid"), 5, K.cosine(), block_rows=16, pivots=pivots).orderBy("rank").collect():
+        have.setdefault(r["qid"], []).append(r["cid"])
+    assert have == brute(x, K.cosine(), 5)
+
+
+def test_nearest_in_an_empty_corpus(spark):
+    x = points(6, 2)
+    none = frame(spark, x, "cid").limit(0)
+    assert K.nearest(frame(spark, x), none, 3, K.weighted_similarity()).count() == 0
+    assert K.nearest(frame(spark, x).limit(0), frame(spark, x, "cid"), 3, K.euclidean()).count() == 0
+
+
 def test_knn_impute_falls_back_to_mean(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, 3.0, None), (3, None, 4.0)], "id bigint, a double, b double")
     got = {r["id"]: (r["a"], r["b"]) for r in K.knn_impute(df, "id", ["a", "b"], 2).collect()}
