@@ -30,13 +30,24 @@ def double_code(x: Column) -> Column:
     mantissa. Zero is 0, infinities share the code of the largest double."""
     a = F.least(F.greatest(F.abs(x), F.lit(2.2250738585072014e-308)), F.lit(1.7976931348623157e308))
     e = F.floor(F.log2(a)).cast("int")
-    m = a * F.pow(F.lit(2.0), -e)
+    return _code(x, e, a * F.pow(F.lit(2.0), -e))
+
+
+def _code(x: Column, e: Column, m: Column) -> Column:
     # the logarithm may be off by one next to a power of two
     e, m = e + F.when(m < 1, -1).when(m >= 2, 1).otherwise(0), F.when(m < 1, m * 2).when(m >= 2, m / 2).otherwise(m)
     code = F.shiftleft((e + 1023).cast("bigint"), 31) + F.floor((m - 1) * F.lit(float(1 << 31))).cast("bigint")
     return F.when(x > 0, code).when(x < 0, -code).otherwise(F.lit(0).cast("bigint"))
 
 
+def _with_code(df: DataFrame, v: str, out: str) -> DataFrame:
+    """`double_code` of a column, in steps, so that no step is computed twice."""
+    a = F.least(F.greatest(F.abs(v), F.lit(2.2250738585072014e-308)), F.lit(1.7976931348623157e308))
+    df = df.withColumn("__a", a).withColumn("__e", F.floor(F.log2("__a")).cast("int"))
+    df = df.withColumn("__m", F.col("__a") * F.pow(F.lit(2.0), -F.col("__e")))
+    return df.withColumn(out, _code(F.col(v), F.col("__e"), F.col("__m"))).drop("__a", "__e", "__m")
+
+
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A side table of a join, kept and counted: broadcast up to `rows` rows, so that the
     other side is not shuffled on what may be a few keys; joined as it is beyond."""
@@ -131,7 +142,7 @@ def exact_quantiles(
             )
         ).alias("__kv"),
     ).select(*keys, "__kv.feature", "__kv.v")
-    long = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("__c", double_code(F.col("v")))
+    long = _with_code(long.filter(F.col("v").isNotNull() & ~F.isnan("v")), "v", "__c")
     long = long.withColumn("__b", F.shiftright("__c", 21))
     by = keys + ["feature"]
     hist = long.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
