@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontam, embdedup, langid, mixing, preference, quality, simhash, tokcount, tokenstore, toxicity
+from cohortry.llm import decontam, embdedup, langid, mixing, preference, quality, simhash, tokcount, tokenstore, topk, toxicity
 from cohortry.llm.common import fold, labelled_sample, table
 
 #: Labelled rows a classifier is fitted on, at most (about).
@@ -121,6 +121,30 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best integer inner products of every row whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP11_SQL = """
+WITH r AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings),
+v AS MATERIALIZED (
+  SELECT row, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS d FROM r
+  WHERE embedding IS NOT NULL AND NOT list_bool_or([x IS NULL OR isnan(x::DOUBLE) OR isinf(x::DOUBLE) for x in embedding] || [false])),
+ok AS MATERIALIZED (
+  SELECT row, vec_id, [x::BIGINT for x in d] AS c FROM v WHERE coalesce(list_sum([x * x for x in d]), 0) < 4611686018427387904.0),
+s AS (
+  SELECT q.row AS qrow, q.vec_id AS query_id, x.vec_id, x.row AS xrow,
+         coalesce(list_sum([q.c[i] * x.c[i] for i in range(1, len(q.c) + 1)]), 0)::BIGINT AS score
+  FROM ok q JOIN ok x ON x.row <> q.row AND len(x.c) = len(q.c)
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qrow ORDER BY score DESC, vec_id ASC NULLS LAST, xrow) AS rank FROM s)
+WHERE rank <= 5
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_preference_format, op2_quality_score, op3_toxicity_mil, op4_language_id, op5_decontamination, op6_token_counts,
-        op7_temperature_mix, op8_simhash, op9_token_store, op10_embedding_dedup, pipeline,
+        op7_temperature_mix, op8_simhash, op9_token_store, op10_embedding_dedup, op11_exact_topk, pipeline,
     )
 }
-ORACLES = {"op1_preference_format": OP1_SQL}
+ORACLES = {"op1_preference_format": OP1_SQL, "op11_exact_topk": OP11_SQL}
