@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontam, embdedup, langid, mixing, preference, quality, simhash, tokcount, tokenstore, topk, toxicity
+from cohortry.llm import decontam, embdedup, langid, mixing, preference, quality, repair, simhash, tokcount, tokenstore, topk, toxicity
 from cohortry.llm.common import fold, labelled_sample, table
 
 #: Labelled rows a classifier is fitted on, at most (about).
@@ -145,6 +145,11 @@ WHERE rank <= 5
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults and its cheapest repair."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -155,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_preference_format, op2_quality_score, op3_toxicity_mil, op4_language_id, op5_decontamination, op6_token_counts,
-        op7_temperature_mix, op8_simhash, op9_token_store, op10_embedding_dedup, op11_exact_topk, pipeline,
+        op7_temperature_mix, op8_simhash, op9_token_store, op10_embedding_dedup, op11_exact_topk, op12_conversation_repair, pipeline,
     )
 }
 ORACLES = {"op1_preference_format": OP1_SQL, "op11_exact_topk": OP11_SQL}

@@ -71,3 +71,181 @@ def test_topk_empty_and_few(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [0.0, 0.5])]
     out = sorted(tuple(r) for r in topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0).collect())
     assert out == [(0, 1, 1, 256 * 256 + 2 * 256 * 256), (0, 2, 2, 2 * 256 * 128)]
+
+
+# ---- conversation repair -------------------------------------------------------------
+
+import hashlib  # noqa: E402
+import itertools  # noqa: E402
+import re  # noqa: E402
+import zlib  # noqa: E402
+
+from cohortry.llm import repair  # noqa: E402
+
+CONVS = "conv_id bigint, turn bigint, role string, text string, ckey string, pos int"
+LEGAL = re.compile(r"(s?(ua)+)?")
+
+
+def damaged(rows):
+    out = {}
+    for c, t, role, text in rows:
+        h = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        role, text = (" " if role is None else role), (" " if text is None else text)
+        if h == 0:
+            continue
+        if h == 1:
+            text = ""
+        if h == 2:
+            text = re.sub("[.!?]", "", text)
+        if h == 4:
+            role = "user"
+        out.setdefault(c, []).extend([(t, role, text)] * (2 if h == 3 else 1))
+    return out
+
+
+def exhaustive(kinds):
+    """Cheapest (cost, audit) by trying every edit of every row and up to two inserts in
+    every gap; kinds: (initial, fault) per row."""
+    best = None
+    per_row = []
+    for init, fault in kinds:
+        t = 1 if fault == "truncated" else 0
+        if fault in ("blank", "duplicate"):
+            per_row.append([("D", None, 3)])
+        else:
+            per_row.append([("D", None, 3), ("K", init, t), ("R", "u", 2 + t), ("R", "a", 2 + t)])
+    gaps = ["", "u", "a", "ua", "au"]
+    for choice in itertools.product(*per_row):
+        for ins in itertools.product(gaps, repeat=len(kinds) + 1):
+            roles, audit, cost = [], [], 0
+            for k in range(len(kinds) + 1):
+                roles += list(ins[k])
+                audit += ["I"] * len(ins[k])
+                cost += 2 * len(ins[k])
+                if k < len(kinds):
+                    e, r, c = choice[k]
+                    audit.append(e)
+                    cost += c
+                    if r is not None:
+                        roles.append(r)
+            if LEGAL.fullmatch("".join(roles)):
+                cand = (cost, "".join(audit))
+                best = cand if best is None or cand < best else best
+    return best
+
+
+def brute_repair(rows):
+    result = {}
+    convs = damaged(rows)
+    for c in {r[0] for r in rows}:
+        got = sorted(convs.get(c, []), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        seen, kinds = set(), []
+        for t, role, text in got:
+            if not re.search(r"[^\x20\x09-\x0D]", text):
+                f = "blank"
+            elif (role, text) in seen:
+                f = "duplicate"
+            elif not re.search(r"[.!?][\x20\x09-\x0D]*\Z", text):
+                f = "truncated"
+            else:
+                f = None
+            seen.add((role, text))
+            kinds.append((role[:1], f))
+        turns = [t for t, _, _ in got if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        inits = [k[0] for k in kinds]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(inits, inits[1:]))
+        cost, audit = exhaustive(kinds) if len(kinds) <= 4 else forward(kinds)
+        lines, k, out_t, first_s = [], 0, 0, False
+        for e in audit:
+            if e == "D":
+                k += 1
+                continue
+            out_t += 1
+            if e == "K":
+                role, text = got[k][1], got[k][2]
+                first_s = first_s or (out_t == 1 and role[:1] == "s")
+            else:
+                role = "user" if (out_t + first_s) % 2 else "assistant"
+                text = "" if e == "I" else got[k][2]
+            if e != "I":
+                k += 1
+            lines.append(f"{role}:{text}")
+        faults = [f for _, f in kinds]
+        result[c] = (
+            c, gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit,
+            hashlib.sha256("\n".join(lines).encode()).hexdigest(),
+        )
+    return set(result.values())
+
+
+def forward(kinds):
+    """Forward search over (row, state): every cheapest path's audit, the least kept."""
+    move = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    frontier = {0: (0, "")}
+
+    def inserts(front):
+        front = dict(front)
+        for _ in range(4):
+            for g, (c, a) in list(front.items()):
+                for x in "ua":
+                    to = move.get((g, x))
+                    if to is not None and (to not in front or (c + 2, a + "I") < front[to]):
+                        front[to] = (c + 2, a + "I")
+        return front
+
+    for init, fault in kinds:
+        frontier = inserts(frontier)
+        nxt = {}
+        t = 1 if fault == "truncated" else 0
+        for g, (c, a) in frontier.items():
+            opts = [(g, c + 3, "D")]
+            if fault not in ("blank", "duplicate"):
+                if (g, init) in move:
+                    opts.append((move[(g, init)], c + t, "K"))
+                for x in "ua":
+                    if (g, x) in move:
+                        opts.append((move[(g, x)], c + 2 + t, "R"))
+            for to, cc, e in opts:
+                if to not in nxt or (cc, a + e) < nxt[to]:
+                    nxt[to] = (cc, a + e)
+        frontier = nxt
+    frontier = inserts(frontier)
+    return min(v for g, v in frontier.items() if g in (0, 3))
+
+
+def conv_frame(spark, rows):
+    return spark.createDataFrame([(*r, "clash", 1) for r in rows], CONVS)
+
+
+def test_exhaustive_agrees_with_forward():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        n = int(rng.integers(0, 5))
+        kinds = [(str(rng.choice(list("suao"))), rng.choice([None, "blank", "duplicate", "truncated"])) for _ in range(n)]
+        assert exhaustive(kinds) == forward(kinds)
+
+
+def test_repair_equals_brute_force_on_table(spark):
+    from conftest import SMALL
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = {tuple(r) for r in repair.repair(conv_frame(spark, rows)).collect()}
+    assert got == brute_repair(rows)
+
+
+def test_repair_odd_rows_and_long_conversations(spark):
+    rng = np.random.default_rng(9)
+    texts = [None, "", " ", "Hi.", "Hi", "ok!", "What?  \n", "x ", "done." * 2000, "a.b"]
+    roles = [None, "system", "user", "assistant", "tool", "", "superuser"]
+    rows = [(None, None, None, None), (None, 1, "user", "Hi."), (7, None, "user", "Hi."), (7, None, "user", "Hi.")]
+    rows += [(8, t, str(rng.choice(roles[1:])), str(rng.choice(texts[1:]))) for t in range(150)]  # many rounds at anchor 4
+    rows += [(9 + c, t, roles[(c + t) % len(roles)], texts[(c * t) % len(texts)]) for c in range(30) for t in range(6)]
+    rows += [(100 + c, t, ["system", "user", "assistant", "user"][t], "Same words.") for c in range(20) for t in range(4)]
+    rows += [(200, 5, "user", "Gap."), (200, 9, "assistant", "Gap.")]
+    got = {tuple(r) for r in repair.repair(conv_frame(spark, rows), anchor=4).collect()}
+    assert got == brute_repair(rows)
+
+
+def test_repair_empty(spark):
+    assert repair.repair(conv_frame(spark, [])).count() == 0
