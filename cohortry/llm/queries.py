@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontam, embdedup, langid, mixing, preference, quality, repair, simhash, tokcount, tokenstore, topk, toxicity
+from cohortry.llm import decontam, divergence, embdedup, langid, mixing, preference, quality, repair, simhash, tokcount, tokenstore, topk, toxicity
 from cohortry.llm.common import fold, labelled_sample, table
 
 #: Labelled rows a classifier is fitted on, at most (about).
@@ -150,6 +150,41 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the others of its language, and its most over-represented terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, top_terms=10)
+
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tok AS MATERIALIZED (
+  SELECT id, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS u(t)),
+kept AS (SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS V FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS c FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(cnt.c), 0) AS N FROM g LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+lc AS (SELECT lang, term, sum(c) AS c FROM cnt GROUP BY ALL),
+ln AS (SELECT lang, sum(c) AS N FROM lc GROUP BY ALL),
+gp AS (SELECT g.lang, g.source, kept.term, coalesce(cnt.c, 0) AS c,
+              1 + (1000000000::HUGEINT * (coalesce(cnt.c, 0) + 2)) // (n.N + 2 * v.V) AS p
+       FROM g JOIN v USING (lang) JOIN kept USING (lang) JOIN n USING (lang, source) LEFT JOIN cnt USING (lang, source, term)),
+lp AS (SELECT kept.lang, kept.term, 1 + (1000000000::HUGEINT * (coalesce(lc.c, 0) + 2)) // (coalesce(ln.N, 0) + 2 * v.V) AS q
+       FROM kept JOIN v USING (lang) LEFT JOIN ln USING (lang) LEFT JOIN lc USING (lang, term)),
+ps AS (SELECT a.lang, a.source AS sa, b.source AS sb, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+       FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(ps.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN ps ON ps.lang = a.lang AND ps.sa = a.source AND ps.sb = b.source),
+terms AS (SELECT gp.lang, gp.source, 'term' AS part, gp.term AS item, ((gp.p - lp.q) * (gp.p - lp.q) // (gp.p + lp.q))::BIGINT AS value
+          FROM gp JOIN lp USING (lang, term) WHERE gp.c > 0 AND gp.p > lp.q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -160,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_preference_format, op2_quality_score, op3_toxicity_mil, op4_language_id, op5_decontamination, op6_token_counts,
-        op7_temperature_mix, op8_simhash, op9_token_store, op10_embedding_dedup, op11_exact_topk, op12_conversation_repair, pipeline,
+        op7_temperature_mix, op8_simhash, op9_token_store, op10_embedding_dedup, op11_exact_topk, op12_conversation_repair, op13_source_divergence, pipeline,
     )
 }
-ORACLES = {"op1_preference_format": OP1_SQL, "op11_exact_topk": OP11_SQL}
+ORACLES = {"op1_preference_format": OP1_SQL, "op11_exact_topk": OP11_SQL, "op13_source_divergence": OP13_SQL}

@@ -249,3 +249,68 @@ def test_repair_odd_rows_and_long_conversations(spark):
 
 def test_repair_empty(spark):
     assert repair.repair(conv_frame(spark, [])).count() == 0
+
+
+# ---- source divergence ---------------------------------------------------------------
+
+from cohortry.llm import divergence  # noqa: E402
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, term string, p string, rank string"
+
+
+def brute_divergence(rows, min_docs, top):
+    docs = [("" if t is None else t, "" if la is None else la, "" if s is None else s) for t, la, s in rows]
+    pat = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    toks = [[w.translate(low) for w in pat.findall(t)] for t, _, _ in docs]
+    out = set()
+    for lang in {la for _, la, _ in docs}:
+        idx = [k for k, d in enumerate(docs) if d[1] == lang]
+        df = {}
+        for k in idx:
+            for w in set(toks[k]):
+                df[w] = df.get(w, 0) + 1
+        kept = sorted(w for w, n in df.items() if n >= min_docs)
+        V = len(kept)
+        sources = sorted({docs[k][2] for k in idx})
+
+        def ps(ks):
+            c = {w: 0 for w in kept}
+            for k in ks:
+                for w in toks[k]:
+                    if w in c:
+                        c[w] += 1
+            N = sum(c.values())
+            return c, {w: 1 + (10**9 * (c[w] + 2)) // (N + 2 * V) for w in kept}
+
+        f = lambda p, q: (p - q) * (p - q) // (p + q)
+        _, q = ps(idx)
+        per = {s: ps([k for k in idx if docs[k][2] == s]) for s in sources}
+        for s in sources:
+            c, p = per[s]
+            pairs = sorted(((sum(f(p[w], per[o][1][w]) for w in kept), o) for o in sources if o != s), key=lambda t: (-t[0], t[1].encode()))
+            out |= {(lang, s, "pair", o, v, r + 1) for r, (v, o) in enumerate(pairs)}
+            terms = sorted(((f(p[w], q[w]), w) for w in kept if c[w] > 0 and p[w] > q[w]), key=lambda t: (-t[0], t[1].encode()))
+            out |= {(lang, s, "term", w, v, r + 1) for r, (v, w) in enumerate(terms[:top])}
+    return out
+
+
+def test_divergence_equals_brute_force_on_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    words = ["Alpha", "beta", "GAMMA", "délta", "Ωmega", "x", "Zeta's", "b2b", "naïve", "ÉCOLE", "a-b"]
+    rows = []
+    for k in range(160):
+        text = " ".join(str(rng.choice(words)) for _ in range(int(rng.integers(0, 12))))
+        rows.append((text, str(rng.choice(["en", "fr"])), str(rng.choice(["s1", "s2", "s3"]))))
+    rows += [("Alpha beta beta", "en", "hot")] * 40  # a large group of copies in one source
+    rows += [(None, None, None), ("", "en", "empty-source"), ("12 34 !!", "en", None), ("Solo words here", "de", "only")]
+    rows += [("Alpha " * 5000, "en", "s1")]  # a long text
+    rows += [("rare", "xx", "a"), ("rare", "xx", "b")]  # a lang without kept terms
+    frame = spark.createDataFrame([(k, t, la, s, 0, "c", "c", "c") for k, (t, la, s) in enumerate(rows)], DOCS)
+    got = {tuple(r) for r in divergence.audit(frame, min_docs=3, top_terms=4).collect()}
+    assert got == brute_divergence(rows, 3, 4)
+
+
+def test_divergence_empty(spark):
+    frame = spark.createDataFrame([], DOCS)
+    assert divergence.audit(frame).count() == 0
