@@ -144,7 +144,8 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row a document: id, fp (long), component_id (smallest id reachable).
+    """One row a document: id, fp (long), component_id (smallest id reachable), root (the
+    least fingerprint of its component: a key of the component even where ids repeat).
 
     Documents with one fingerprint are one node, so copies are never expanded into pairs.
     Null and empty texts have fingerprint zero and are linked like any other; repeated
@@ -157,5 +158,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(fps.select("fp"), max_bits))
     fps = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lead = fps.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = checkpoint(fps.join(lead, "root").select(F.col("fp").alias("f"), "component_id"))
-    return rows.join(named, rows.fp == named.f).select("doc_id", "fp", "component_id")
+    named = checkpoint(fps.join(lead, "root").select(F.col("fp").alias("f"), "component_id", "root"))
+    return rows.join(named, rows.fp == named.f).select("doc_id", "fp", "component_id", "root")

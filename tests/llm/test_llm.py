@@ -480,3 +480,15 @@ def test_pipeline_odd(spark, odd, empty):
             df = out
         last = corpus_pipeline.STAGES[-1][1](spark, df, SMALL)
         assert last.count() == df.count()
+
+
+def test_pipeline_near_duplicates_keeps_rows_not_ids(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    text = lambda: " ".join(f"w{int(rng.integers(0, 10**6))}" for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, d), (None, a), (None, text())]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("_row", F.lit("clash"))
+    out = corpus_pipeline.near_duplicates(spark, df.drop("_row"), SMALL)
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in out.collect()) == sorted([(3, a), (5, b), (7, c), (7, d), (-1, rows[-1][1])])
