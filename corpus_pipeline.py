@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import decontam, langid, mixing, simhash, tokenstore
-from cohortry.llm.common import BROADCAST_KEYS, fold, table
-from cohortry.session import scratch_dir
+from cohortry.llm.common import fold, table
+from cohortry.session import checkpoint, scratch_dir
 
 #: A source may be read at most so many times as often as the one read least.
 REPETITION = 2.0
@@ -22,15 +22,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of rows that share
-    an id, one. Documents without an id stay."""
-    found = simhash.near_duplicates(docs, n=3, max_bits=3)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    """One row of each group of near copies stays: the one with the smallest doc_id (null
+    last), then the first read. Rows are removed as rows, so a repeated id with another
+    text is a document of its own and stays when its group has no smaller row."""
+    rows = checkpoint(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), n=3, max_bits=3)
+    ids = rows.select(F.col("_row").alias("r"), F.col("doc_id").alias("i"))
+    pick = F.min(F.struct(F.col("i").isNull().alias("z"), F.col("i").alias("i"), F.col("r").alias("r")))
+    keep = found.join(ids, found.doc_id == ids.r).groupBy("root").agg(pick.alias("k")).select(F.col("k.r").alias("_row"))
+    return rows.join(keep, "_row", "left_semi").drop("_row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
