@@ -60,23 +60,24 @@ def _small(df: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = 10, top_terms: int = 10) -> DataFrame:
     d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    # identical texts per lang: one row with their count per source, tokenized once
-    per_source = d.groupBy("lang", "text", "source").agg(F.count("*").alias("m"))
-    texts = per_source.groupBy("lang", "text").agg(F.sum("m").alias("m_all"), F.collect_list(F.struct("source", "m")).alias("by"))
-    texts = checkpoint(texts.withColumn("tid", F.monotonically_increasing_id()))
+    # identical texts per lang share a key of 128 bits and their length; the multiplicities
+    # per source move without the text, and the text moves once per distinct key and map
+    # partition, to be tokenized once
+    d = d.withColumn("tid", F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.length("text").alias("n")))
+    per_source = checkpoint(d.groupBy("lang", "tid", "source").agg(F.count("*").alias("m")))
+    texts = d.groupBy("lang", "tid").agg(F.any_value("text").alias("text"))
     groups = checkpoint(per_source.select("lang", "source").distinct())
 
     found = F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), lambda t: F.translate(t, UPPER, LOWER))
     terms = texts.select("lang", "tid", F.explode(found).alias("term")).groupBy("lang", "tid", "term").agg(F.count("*").alias("tf"))
-    terms = checkpoint(terms)
-    mult = texts.select("lang", "tid", "m_all")
-    dfreq = terms.join(mult, ["lang", "tid"]).groupBy("lang", "term").agg(F.sum("m_all").alias("df"))
-    kept = checkpoint(dfreq.where(F.col("df") >= min_docs).select("lang", "term"))
+    # weighted counts and document frequencies per (lang, source, term), all terms at once
+    every = terms.join(per_source, ["lang", "tid"]).groupBy("lang", "source", "term").agg(
+        F.sum(F.col("tf") * F.col("m")).alias("c"), F.sum("m").alias("dm")
+    )
+    every = checkpoint(every)
+    kept = checkpoint(every.groupBy("lang", "term").agg(F.sum("dm").alias("df")).where(F.col("df") >= min_docs).select("lang", "term"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("V"))
-
-    by = texts.select("lang", "tid", F.explode("by").alias("b")).select("lang", "tid", "b.source", "b.m")
-    counts = terms.join(kept, ["lang", "term"]).join(by, ["lang", "tid"]).groupBy("lang", "source", "term").agg(F.sum(F.col("tf") * F.col("m")).alias("c"))
-    counts = checkpoint(counts)
+    counts = checkpoint(every.join(kept, ["lang", "term"]).select("lang", "source", "term", "c"))
     n_group = groups.join(counts.groupBy("lang", "source").agg(F.sum("c").alias("N")), ["lang", "source"], "left").fillna(0, ["N"])
     # a lang without kept terms keeps its groups (V = 0): its pairs are worth 0
     g = n_group.join(sizes, "lang", "left").fillna(0, ["V"])
