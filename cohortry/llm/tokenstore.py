@@ -43,6 +43,9 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = "\u2000"
 #: White space, by any account, next to white space.
 _SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+#: A text that starts with white space other than a space or a line break: the line break
+#: put before its first piece would merge with it, so the library sees it whole.
+_LEADING = r"^[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -150,7 +153,7 @@ class Encoder:
         Pieces keep the line break before them and leave the space before them out. The
         first piece gets a line break of its own, whose id is cut off again."""
         texts = texts.cast(pa.large_string()).fill_null("")
-        odd = pc.match_substring_regex(texts, _SPACES)
+        odd = pc.or_(pc.match_substring_regex(texts, _SPACES), pc.match_substring_regex(texts, _LEADING))
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
         whole = dict.fromkeys(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist())

@@ -492,3 +492,11 @@ def test_pipeline_near_duplicates_keeps_rows_not_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("_row", F.lit("clash"))
     out = corpus_pipeline.near_duplicates(spark, df.drop("_row"), SMALL)
     assert sorted((r["doc_id"] or -1, r["text"]) for r in out.collect()) == sorted([(3, a), (5, b), (7, c), (7, d), (-1, rows[-1][1])])
+
+
+def test_encoder_leading_white_space():
+    spaces = ["\t", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ", "​", " ", " ", "　"]
+    texts = [w + tail for w in spaces for tail in ("", "a", " a", "\na", "x y")]
+    e = tokenstore.Encoder(BYTE)
+    got = [np.frombuffer(b, "<u4").tolist() for b in e.encode(pa.array(texts))]
+    assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
