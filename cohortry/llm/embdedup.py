@@ -82,12 +82,14 @@ def packer(kind: str, threshold: float, reach: float):
         rows = []
         for v in vectors:
             x = None if v is None else np.array([np.nan if c is None else c for c in v] if getattr(v, "dtype", None) == object else v, dtype=kind) + 0
-            norm = 0.0 if x is None or not len(x) else float(np.linalg.norm(x.astype(np.float64)))
-            if norm == 0 or not np.isfinite(norm):
+            # scaled by the largest component first, so that no square leaves the doubles
+            top = 0.0 if x is None or not len(x) or not np.isfinite(x).all() else float(np.abs(x.astype(np.float64)).max())
+            if top == 0:
                 rows.append((None, None, None, None))
                 continue
             d = len(x)
-            o = rotation(d) @ (x.astype(np.float64) / norm)
+            xs = x.astype(np.float64) / top
+            o = rotation(d) @ (xs / np.linalg.norm(xs))
             blocks = spans(d)
             budget = _budget(threshold, len(blocks), reach) + _SLACK
             keys = []
@@ -103,6 +105,7 @@ def packer(kind: str, threshold: float, reach: float):
 def pairs_in(key: int, x: np.ndarray, codes: np.ndarray, f: np.ndarray, flipped: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, reach: float, epsilon: float | None):
     """Linked pairs (u, v) of one list that are counted in this list and in no other."""
     d = x.shape[1]
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # cosines are kept, squares stay finite
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     o = unit @ rotation(d).T
     signs = (np.unpackbits(codes, axis=1, count=d).astype(np.float64) * 2 - 1) / np.sqrt(d)
@@ -183,8 +186,12 @@ def near_duplicates(
     Equal vectors are one class with a multiplicity, so copies are never compared, and
     lists hold classes. Null, empty and zero vectors and those with null or non-finite
     components link with nothing (n_links 0, own component). Vectors of different lengths
-    are not compared. Rows that share an id are one node. A null id never names a
-    component. Other columns are not read.
+    are not compared. Every distinct vector is a node of its own: rows that share an id but
+    not a vector are linked only through their vectors. Vectors with null ids are listed
+    and linked like any other; a null id never names a component (a component of null ids
+    only has a null component_id, and its rows count as kept). Vectors are scaled by their
+    largest component before norms are taken, so finite vectors of any size are compared.
+    Other columns are not read.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -195,19 +202,25 @@ def near_duplicates(
         rows.where(F.col("vec").isNotNull()).groupBy("vec")
         .agg(F.min("vec_id").alias("id"), F.count("*").alias("many"), F.first("code").alias("code"), F.first("factor").alias("factor"), F.first("keys").alias("keys"))
     )
-    classes = checkpoint(classes)
-    listed = classes.where(F.col("id").isNotNull()).select("id", "many", "vec", "code", "factor", F.explode("keys").alias("k"))
+    # every distinct vector is a node of its own, whatever ids it carries
+    classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    listed = classes.select(F.col("node").alias("id"), "many", "vec", "code", "factor", F.explode("keys").alias("k"))
     listed = listed.select("id", "many", "vec", "code", "factor", F.col("k.key").alias("key"), F.col("k.flipped").alias("flipped"))
     lists = pair_blocks(listed, "key", F.xxhash64("vec"), _LIST)
     items = F.struct(*(F.col(f"items.{c}").alias(c) for c in ("b", "id", "many", "vec", "code", "factor", "flipped")))
     met = lists.select(F.explode(linker(kind, threshold, reach, epsilon)("key", "bi", "bj", items)).alias("m"))
     met = checkpoint(met.select("m.*"))
     roots = components(met.select(F.col("id").alias("a"), F.col("parent").alias("b")))
-    counts = met.groupBy("id").agg(F.sum("n").alias("n"))
+    counts = met.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "node")
+    comp = classes.select("node", F.col("id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    lead = comp.groupBy("root").agg(F.min("least").alias("component_id"))
     named = (
-        classes.select(F.col("vec").alias("v"), "id", "many").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
+        classes.select(F.col("vec").alias("v"), "node", "many").join(counts, "node", "left").join(comp.select("node", "root"), "node").join(lead, "root")
+        .select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
     )
     out = rows.select("vec_id", "vec").join(named, F.col("vec") == F.col("v"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+    out = out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -500,3 +500,17 @@ def test_encoder_leading_white_space():
     e = tokenstore.Encoder(BYTE)
     got = [np.frombuffer(b, "<u4").tolist() for b in e.encode(pa.array(texts))]
     assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_vectors_scale_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    c, d, e = rng.standard_normal(16), rng.standard_normal(16), rng.standard_normal(16)
+    rows = [
+        (1, (c * 1e200).tolist()), (2, (c * 1e-200).tolist()), (3, c.tolist()),  # one class of cosine 1 at any scale
+        (4, d.tolist()), (4, e.tolist()),  # one id, two unrelated vectors
+        (None, (d * 3).tolist()), (9, (d + 1e-3).tolist()),  # a null id links 4's d to 9
+        (None, (e * 2).tolist()),  # a component of e: ids 4 (and null)
+    ]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"], r["component_id"]) for r in embdedup.near_duplicates(df).collect())
+    assert got == sorted([(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 4), (4, 1, 4), (-1, 2, 4), (9, 2, 4), (-1, 1, 4)])
