@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import ensemble as V
 from cohortry.operators import explain as X
+from cohortry.operators import treeshap as T
+from cohortry.operators.models import learner
 from cohortry.operators.lookup import literal_table
 from cohortry.operators.recommend import monitor_advice
 from cohortry.operators.splits import sample_rows
@@ -85,6 +87,20 @@ def x04(spark, d):
     return out.select("id", *[F.col("phi")[i].alias(f"phi_{f}") for i, f in enumerate(FEATURES)])
 
 
+@query("x04_forest_shap")
+def x04_forest(spark, d):
+    """Exact contributions of every order under a random forest fitted with the library's
+    settings, against 100 background rows, from the trees' leaf paths; phi sums to the
+    forest's probability minus the background mean. SQL cannot score a fitted forest;
+    tests/test_treeshap.py holds the paths against scoring every coalition."""
+    from pyspark.ml.feature import VectorAssembler
+
+    b = S.base(spark, d).withColumn("label_index", F.col("y").cast("double"))
+    model = learner("random_forest").fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(b))
+    out = T.tree_contributions(b, "id", FEATURES, model, background(spark, d, 100))
+    return out.select("id", "value", "base_value", *[F.col("phi")[i].alias(f"phi_{f}") for i, f in enumerate(FEATURES)])
+
+
 @query("j06_row_background_join", f"WITH {BASE_SQL}, {BG_SQL} SELECT r.id, round(avg({S.p_sql('b', ['r.x1', 'r.x2', 'b.x3', 'b.x4'], None)}), 6) AS mean_score FROM base r, bg b GROUP BY r.id")
 def j06(spark, d):
     score = X.mean_over_background(FEATURES, background(spark, d), card_score("b"), ["x1", "x2"])
