@@ -41,6 +41,7 @@ from cohortry.llm.common import BROADCAST_KEYS
 from cohortry.session import checkpoint
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATOR = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,14 +66,19 @@ def audit(docs: DataFrame, min_docs: int = 10, top_terms: int = 10) -> DataFrame
     # partition, to be tokenized once
     d = d.withColumn("tid", F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.length("text").alias("n")))
     per_source = checkpoint(d.groupBy("lang", "tid", "source").agg(F.count("*").alias("m")))
-    texts = d.groupBy("lang", "tid").agg(F.any_value("text").alias("text"))
+    by_text = per_source.groupBy("lang", "tid").agg(F.collect_list(F.struct("source", "m")).alias("by"))  # sources of a text
+    texts = d.groupBy("lang", "tid").agg(F.any_value("text").alias("text")).join(by_text, ["lang", "tid"])
     groups = checkpoint(per_source.select("lang", "source").distinct())
 
-    found = F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), lambda t: F.translate(t, UPPER, LOWER))
-    terms = texts.select("lang", "tid", F.explode(found).alias("term")).groupBy("lang", "tid", "term").agg(F.count("*").alias("tf"))
-    # weighted counts and document frequencies per (lang, source, term), all terms at once
-    every = terms.join(per_source, ["lang", "tid"]).groupBy("lang", "source", "term").agg(
-        F.sum(F.col("tf") * F.col("m")).alias("c"), F.sum("m").alias("dm")
+    # each distinct text is tokenized once; its terms are sorted so that the first of equal
+    # neighbours marks one document, and rows go straight to (lang, source, term) sums,
+    # combined before the exchange
+    tokens = F.array_sort(F.filter(F.split(F.translate("text", UPPER, LOWER), SEPARATOR), lambda t: t != ""))
+    first = F.transform("tokens", lambda t, i: F.coalesce(F.get(F.col("tokens"), i - 1) != t, F.lit(True)))
+    texts = texts.select("lang", "by", tokens.alias("tokens")).select("lang", "by", F.arrays_zip(F.col("tokens").alias("term"), first.alias("first")).alias("t"))
+    rows = texts.select("lang", F.explode("by").alias("b"), "t").select("lang", "b.source", "b.m", F.explode("t").alias("t"))
+    every = rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(
+        F.sum("m").alias("c"), F.sum(F.when(F.col("t.first"), F.col("m")).otherwise(0)).alias("dm")
     )
     every = checkpoint(every)
     kept = checkpoint(every.groupBy("lang", "term").agg(F.sum("dm").alias("df")).where(F.col("df") >= min_docs).select("lang", "term"))
