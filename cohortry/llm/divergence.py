@@ -74,7 +74,9 @@ def audit(docs: DataFrame, min_docs: int = 10, top_terms: int = 10) -> DataFrame
     # neighbours marks one document, and rows go straight to (lang, source, term) sums,
     # combined before the exchange
     tokens = F.array_sort(F.filter(F.split(F.translate("text", UPPER, LOWER), SEPARATOR), lambda t: t != ""))
-    first = F.transform("tokens", lambda t, i: F.coalesce(F.get(F.col("tokens"), i - 1) != t, F.lit(True)))
+    # the array is referenced outside lambdas only, so it is sorted once and not per element
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))))
+    first = F.zip_with("tokens", prev, lambda t, p: F.coalesce(t != p, F.lit(True)))
     texts = texts.select("lang", "by", tokens.alias("tokens")).select("lang", "by", F.arrays_zip(F.col("tokens").alias("term"), first.alias("first")).alias("t"))
     rows = texts.select("lang", F.explode("by").alias("b"), "t").select("lang", "b.source", "b.m", F.explode("t").alias("t"))
     every = rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(
