@@ -79,6 +79,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top_terms: int = 10) -> DataFrame
     first = F.zip_with("tokens", prev, lambda t, p: F.coalesce(t != p, F.lit(True)))
     texts = texts.select("lang", "by", tokens.alias("tokens")).select("lang", "by", F.arrays_zip(F.col("tokens").alias("term"), first.alias("first")).alias("t"))
     rows = texts.select("lang", F.explode("by").alias("b"), "t").select("lang", "b.source", "b.m", F.explode("t").alias("t"))
+    rows = rows.where(F.col("t.term").isNotNull())  # a text without terms zips one empty pair
     every = rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(
         F.sum("m").alias("c"), F.sum(F.when(F.col("t.first"), F.col("m")).otherwise(0)).alias("dm")
     )
