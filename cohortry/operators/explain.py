@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from cohortry.functions.seeded import seeded_hash, seeded_normal
 from cohortry.operators.metrics import ranking_scores
 from cohortry.operators.ranks import global_rank
+from cohortry.session import checkpoint
 
 Scorer = Callable[[Mapping[str, Column]], Column]
 MAX_BACKGROUND = 512
@@ -358,6 +359,61 @@ def permutation_importance(
     )
 
 
+def permutation_variants(df: DataFrame, id_col: str, features: Sequence[str], y: str, repeats: int = 10, seed: int = 42) -> DataFrame:
+    """(feature, rep, id, y, vec): every row once as it is (feature '', rep 0) and once for
+    every feature and repeat with that feature taken from another row.
+
+    The permutations are those of `permutation_importance`: one seeded rank of the rows,
+    and repeat r takes the value from a seeded number of ranks further (cyclic), so all
+    features and repeats come from one join. Features are read as doubles."""
+    if repeats < 1:
+        raise ValueError("repeats must be 1 or more")
+    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    base = df.select(id_col, y, x.alias("vec")).withColumn("__h", seeded_hash(str(seed), id_col))
+    ranked = checkpoint(global_rank(base, ["__h", id_col], out="__r").drop("__h"))
+    n = ranked.count()
+    if n < 2:
+        raise ValueError("permutation needs two rows or more")
+    shift = F.pmod(seeded_hash(f"shift{seed}", "rep"), F.lit(n - 1)) + 1
+    reps = ranked.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    reps = reps.withColumn("__s", F.pmod(F.col("__r") - 1 + shift, F.lit(n)) + 1)
+    donors = ranked.select(F.col("__r").alias("__s"), F.col("vec").alias("__d"))
+    joined = reps.join(donors, "__s")
+    swapped = [
+        F.struct(F.lit(f).alias("feature"), F.array(*[F.col("__d")[j] if j == i else F.col("vec")[j] for j in range(len(features))]).alias("vec"))
+        for i, f in enumerate(features)
+    ]
+    variants = joined.select("rep", id_col, y, F.explode(F.array(*swapped)).alias("c")).select("c.feature", "rep", id_col, y, "c.vec")
+    return variants.unionByName(ranked.select(F.lit("").alias("feature"), F.lit(0).alias("rep"), id_col, y, "vec"))
+
+
+def model_permutation_importance(
+    df: DataFrame, id_col: str, features: Sequence[str], y: str, score: Callable[[DataFrame], DataFrame],
+    repeats: int = 10, seed: int = 42, threshold: float = 0.5,
+) -> DataFrame:
+    """feature, importance_mean and importance_std (drop of ROC AUC), accuracy_drop_mean and
+    accuracy_drop_std, for a model that scores DataFrames: score(df with `vec`) adds `score`.
+
+    Every variant of every row (`permutation_variants`) goes through one call of the
+    scorer, so a fitted model scores one batch of rows x (features x repeats + 1) in one
+    scan; the scores are kept once in the shared folder and both metrics are computed from
+    them, keyed by (feature, repeat). A row is right when (score >= threshold) equals y."""
+    v = permutation_variants(df, id_col, features, y, repeats, seed)
+    scored = checkpoint(score(v).select("feature", "rep", y, F.col("score").cast("double").alias("p")))
+    auc = ranking_scores(scored, y, "p", ["feature", "rep"]).select("feature", "rep", "roc_auc")
+    right = ((F.col("p") >= threshold).cast("int") == F.col(y).cast("int")).cast("double")
+    acc = scored.groupBy("feature", "rep").agg(F.avg(right).alias("accuracy"))
+    m = auc.join(acc, ["feature", "rep"])
+    whole = Window.partitionBy()  # over features x repeats + 1 rows
+    m = m.withColumns({f"base_{c}": F.max(F.when(F.col("rep") == 0, F.col(c))).over(whole) for c in ("roc_auc", "accuracy")}).filter("rep > 0")
+    return m.groupBy("feature").agg(
+        F.avg(F.col("base_roc_auc") - F.col("roc_auc")).alias("importance_mean"),
+        F.stddev_pop(F.col("base_roc_auc") - F.col("roc_auc")).alias("importance_std"),
+        F.avg(F.col("base_accuracy") - F.col("accuracy")).alias("accuracy_drop_mean"),
+        F.stddev_pop(F.col("base_accuracy") - F.col("accuracy")).alias("accuracy_drop_std"),
+    )
+
+
 # ------------------------------------------------------------------ backgrounds
 def newest_inputs(df: DataFrame, order: Sequence[Column], n: int = 512) -> DataFrame:
     """The newest n inputs: a top-n merge."""

@@ -182,6 +182,37 @@ def x02(spark, d):
     return X.permutation_importance(S.base(spark, d), "id", FEATURES, "y", lambda x: S.p("a", x), 5)
 
 
+@query(
+    "x02_permutation_scored_frames",
+    f"WITH {PERM_SQL} SELECT feature, round(avg((SELECT auc FROM au WHERE rep = 0) - auc), 6) AS importance_mean, round(stddev_pop((SELECT auc FROM au WHERE rep = 0) - auc), 6) AS importance_std FROM au WHERE rep > 0 GROUP BY feature",
+)
+def x02_frames(spark, d):
+    """The scorecard through the path for models that score DataFrames: all variants of all
+    rows in one batch; the same permutations as x02, so the same SQL."""
+    def score(df):
+        return df.withColumn("score", S.p("a", {f: F.col("vec")[i] for i, f in enumerate(FEATURES)}))
+
+    out = X.model_permutation_importance(S.base(spark, d), "id", FEATURES, "y", score, repeats=5)
+    return out.select("feature", "importance_mean", "importance_std")
+
+
+@query("x02_forest_permutation_importance")
+def x02_forest(spark, d):
+    """Drops of AUC and accuracy of a random forest fitted with the library's settings when
+    each feature of every order is taken from another order, over 10 repeats. SQL cannot
+    score the forest; tests/test_treeshap.py checks the metrics with numpy."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    b = S.base(spark, d).withColumn("label_index", F.col("y").cast("double"))
+    model = learner("random_forest").fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(b))
+
+    def score(df):
+        return model.transform(df.withColumn("features", array_to_vector("vec"))).withColumn("score", vector_to_array("probability")[1])
+
+    return X.model_permutation_importance(b, "id", FEATURES, "y", score, repeats=10)
+
+
 # importance of three methods, here the three scorecards
 METHOD_SQL = f"{BASE_SQL}, imp AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS method, feature, avg(abs(contribution)) AS importance FROM ({phi_sql(c)}) GROUP BY feature" for c in CARDS

@@ -84,3 +84,45 @@ def test_forty_features_sum_to_value(spark):
         assert abs(r["value"] - r["p"]) < 1e-12
         assert abs(sum(r["phi"]) - (r["p"] - r["base_value"])) < 1e-9
     assert T.tree_contributions(df.where("false"), "id", cols, model, background).count() == 0
+
+
+def test_scored_frames_permutation_equals_sql(spark):
+    import __spark_entry__ as entry
+    from conftest import SMALL
+    from oracle import compare, connect
+
+    ok, message = compare(entry.queries()["x02_permutation_scored_frames"](spark, SMALL), entry.oracle_sql()["x02_permutation_scored_frames"], connect(SMALL))
+    assert ok, message
+
+
+def test_forest_permutation_metrics_with_numpy(spark):
+    df, cols = frame(spark, 240, 4, 9)
+    model = RandomForestClassifier(numTrees=8, maxDepth=4, seed=4).fit(df)
+    score = scorer(model, "probability")
+    got = {r["feature"]: r for r in X.model_permutation_importance(df, "id", cols, "label", score, repeats=3).collect()}
+    v = X.permutation_variants(df, "id", cols, "label", repeats=3)
+    rows = score(v).select("feature", "rep", "id", "label", "vec", "score").collect()
+    orig = {r["id"]: [r[c] for c in cols] for r in df.collect()}
+    for r in rows:  # a variant differs from its row in its own feature only
+        j = cols.index(r["feature"]) if r["feature"] else None
+        assert all(a == b for k, (a, b) in enumerate(zip(r["vec"], orig[r["id"]], strict=True)) if k != j)
+    for f in cols:  # each repeat takes the column's values in another order
+        for rep in (1, 2, 3):
+            taken = sorted(r["vec"][cols.index(f)] for r in rows if r["feature"] == f and r["rep"] == rep)
+            assert taken == sorted(v_[cols.index(f)] for v_ in orig.values())
+
+    def auc(y, p):
+        y, p = np.asarray(y), np.asarray(p)
+        pos, neg = p[y == 1], p[y == 0]
+        return ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+
+    def metrics(feature, rep):
+        sel = [r for r in rows if r["feature"] == feature and r["rep"] == rep]
+        y, p = [r["label"] for r in sel], [r["score"] for r in sel]
+        return auc(y, p), np.mean([(q >= 0.5) == (t == 1) for q, t in zip(p, y, strict=True)])
+
+    b_auc, b_acc = metrics("", 0)
+    for f in cols:
+        drops = np.array([[b_auc - a, b_acc - c] for a, c in (metrics(f, rep) for rep in (1, 2, 3))])
+        assert abs(got[f]["importance_mean"] - drops[:, 0].mean()) < 1e-12 and abs(got[f]["importance_std"] - drops[:, 0].std()) < 1e-9
+        assert abs(got[f]["accuracy_drop_mean"] - drops[:, 1].mean()) < 1e-12 and abs(got[f]["accuracy_drop_std"] - drops[:, 1].std()) < 1e-9
