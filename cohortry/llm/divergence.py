@@ -65,25 +65,28 @@ def audit(docs: DataFrame, min_docs: int = 10, top_terms: int = 10) -> DataFrame
     # per source move without the text, and the text moves once per distinct key and map
     # partition, to be tokenized once
     d = d.withColumn("tid", F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.length("text").alias("n")))
-    per_source = checkpoint(d.groupBy("lang", "tid", "source").agg(F.count("*").alias("m")))
-    by_text = per_source.groupBy("lang", "tid").agg(F.collect_list(F.struct("source", "m")).alias("by"))  # sources of a text
+    per_source = d.groupBy("lang", "tid", "source").agg(F.count("*").alias("m"))
+    # each (lang, source) group is a small number in the shuffled rows, not two strings
+    groups = checkpoint(per_source.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()))
+    per_source = checkpoint(per_source.join(_small(groups), ["lang", "source"]).select("lang", "tid", "gid", "m"))
+    by_text = per_source.groupBy("lang", "tid").agg(F.collect_list(F.struct("gid", "m")).alias("by"))  # sources of a text
     texts = d.groupBy("lang", "tid").agg(F.any_value("text").alias("text")).join(by_text, ["lang", "tid"])
-    groups = checkpoint(per_source.select("lang", "source").distinct())
 
     # each distinct text is tokenized once; its terms are sorted so that the first of equal
-    # neighbours marks one document, and rows go straight to (lang, source, term) sums,
-    # combined before the exchange
+    # neighbours marks one document, and rows go straight to (group, term) sums, combined
+    # before the exchange
     tokens = F.array_sort(F.filter(F.split(F.translate("text", UPPER, LOWER), SEPARATOR), lambda t: t != ""))
     # the array is referenced outside lambdas only, so it is sorted once and not per element
     prev = F.concat(F.array(F.lit(None).cast("string")), F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))))
     first = F.zip_with("tokens", prev, lambda t, p: F.coalesce(t != p, F.lit(True)))
-    texts = texts.select("lang", "by", tokens.alias("tokens")).select("lang", "by", F.arrays_zip(F.col("tokens").alias("term"), first.alias("first")).alias("t"))
-    rows = texts.select("lang", F.explode("by").alias("b"), "t").select("lang", "b.source", "b.m", F.explode("t").alias("t"))
+    texts = texts.select("by", tokens.alias("tokens")).select("by", F.arrays_zip(F.col("tokens").alias("term"), first.alias("first")).alias("t"))
+    rows = texts.select(F.explode("by").alias("b"), "t").select("b.gid", "b.m", F.explode("t").alias("t"))
     rows = rows.where(F.col("t.term").isNotNull())  # a text without terms zips one empty pair
-    every = rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(
+    every = rows.groupBy("gid", F.col("t.term").alias("term")).agg(
         F.sum("m").alias("c"), F.sum(F.when(F.col("t.first"), F.col("m")).otherwise(0)).alias("dm")
     )
-    every = checkpoint(every)
+    every = checkpoint(every.join(_small(groups), "gid").select("lang", "source", "term", "c", "dm"))
+    groups = groups.select("lang", "source")
     kept = checkpoint(every.groupBy("lang", "term").agg(F.sum("dm").alias("df")).where(F.col("df") >= min_docs).select("lang", "term"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("V"))
     counts = checkpoint(every.join(kept, ["lang", "term"]).select("lang", "source", "term", "c"))
