@@ -396,13 +396,16 @@ def model_permutation_importance(
 
     Every variant of every row (`permutation_variants`) goes through one call of the
     scorer, so a fitted model scores one batch of rows x (features x repeats + 1) in one
-    scan; the scores are kept once in the shared folder and both metrics are computed from
-    them, keyed by (feature, repeat). A row is right when (score >= threshold) equals y."""
+    scan; equal scores of a (feature, repeat) and class are one counted row before they are
+    kept, and both metrics are computed from these. A row is right when
+    (score >= threshold) equals y."""
     v = permutation_variants(df, id_col, features, y, repeats, seed)
-    scored = checkpoint(score(v).select("feature", "rep", y, F.col("score").cast("double").alias("p")))
-    auc = ranking_scores(scored, y, "p", ["feature", "rep"]).select("feature", "rep", "roc_auc")
-    right = ((F.col("p") >= threshold).cast("int") == F.col(y).cast("int")).cast("double")
-    acc = scored.groupBy("feature", "rep").agg(F.avg(right).alias("accuracy"))
+    scored = score(v).select("feature", "rep", y, F.col("score").cast("double").alias("p"))
+    scored = checkpoint(scored.groupBy("feature", "rep", y, "p").agg(F.count(F.lit(1)).alias("n")))
+    auc = ranking_scores(scored, y, "p", ["feature", "rep"], "n").select("feature", "rep", "roc_auc")
+    right = (F.col("p") >= threshold).cast("int") == F.col(y).cast("int")
+    known = F.sum(F.when(right.isNotNull(), F.col("n")))
+    acc = scored.groupBy("feature", "rep").agg((F.sum(F.when(right, F.col("n")).when(~right, F.lit(0))) / known).alias("accuracy"))
     m = auc.join(acc, ["feature", "rep"])
     whole = Window.partitionBy()  # over features x repeats + 1 rows
     m = m.withColumns({f"base_{c}": F.max(F.when(F.col("rep") == 0, F.col(c))).over(whole) for c in ("roc_auc", "accuracy")}).filter("rep > 0")

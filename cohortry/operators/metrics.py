@@ -70,10 +70,11 @@ def binary_rates(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ())
     )
 
 
-def score_curve(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
+def score_curve(df: DataFrame, y: str, p: str, keys: Sequence[str] = (), times: str | None = None) -> DataFrame:
     """One row per (key, distinct score), descending: cumulative true and false
-    positives and the totals of the key."""
-    counted = df.select(*keys, F.col(p).alias("score"), F.col(y).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("n"))
+    positives and the totals of the key. `times` names a column of row counts."""
+    n = F.lit(1) if times is None else F.col(times)
+    counted = df.select(*keys, F.col(p).alias("score"), (F.col(y).cast("bigint") * n).alias("pos"), n.cast("bigint").alias("n"))
     run = running_totals(counted, "score", ["pos", "n"], keys, descending=True)
     return run.select(
         *keys, "score", "pos", (F.col("n") - F.col("pos")).alias("neg"),
@@ -93,9 +94,9 @@ def curve_points(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> Dat
     )
 
 
-def ranking_scores(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
+def ranking_scores(df: DataFrame, y: str, p: str, keys: Sequence[str] = (), times: str | None = None) -> DataFrame:
     """roc_auc (ties averaged) and average precision; null when one class is absent."""
-    c = score_curve(df, y, p, keys)
+    c = score_curve(df, y, p, keys, times)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     ap = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     both = (F.max("p_total") > 0) & (F.max("n_total") > 0)

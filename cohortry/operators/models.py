@@ -74,6 +74,13 @@ def vectorize(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the input has fewer partitions (a few large files): a fit
+    passes over its rows once a level or step."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def persisted(df: DataFrame):
     df = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -16,6 +16,11 @@ Trees come from the model's own node table (the `data` folder its writer leaves)
 by Spark; rows are explained in Arrow batches by `mapInPandas`, each task holding the
 forest and the background, both of a size known on the driver before the job starts.
 
+A fitted forest sees of a continuous feature only which thresholds lie below it, so rows
+between the same thresholds (a cell) share score and contributions to the last bit. Each
+occupied cell is explained once and joined back to its rows: the numpy work is bounded by
+the thresholds (at most maxBins - 1 a feature) and not by the rows.
+
 Explained output: random forest classifiers, the probability of class `output` (the mean
 of the trees' leaf frequencies, as Spark scores it); gradient-boosted trees, the margin
 (sum of weighted leaf values); regression trees and forests, the prediction.
@@ -28,13 +33,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.session import scratch_dir
+from cohortry.operators.ranks import small_side
+from cohortry.session import checkpoint, scratch_dir
 
 #: Cells of the largest array of a block of rows: leaves x rows x background patterns.
 ROW_CELLS = 1 << 21
+#: Rows (one per cell of the thresholds) that one task explains.
+TASK_ROWS = 512
+#: Cells that are scored ahead and looked up; beyond them rows are scored themselves.
+GRID_CELLS = 100_000
 
 
 def node_table(spark: SparkSession, model) -> DataFrame:
@@ -130,6 +140,48 @@ class Forest:
         return self._cache[key]
 
 
+class Cells:
+    """The cells between the thresholds of a fitted tree model, one axis per feature."""
+
+    def __init__(self, nodes: pd.DataFrame, d: int):
+        inner = nodes[nodes["left"] >= 0]
+        self.categorical = {int(f) for f in inner.loc[inner["n_categories"] >= 0, "feature"]}
+        cuts: dict[int, set[float]] = {i: set() for i in range(d)}
+        for f, split, n in zip(inner["feature"], inner["split"], inner["n_categories"]):
+            if n < 0:
+                cuts[int(f)].add(float(split[0]))
+        self.axes = [[*sorted(cuts[i]), math.inf] for i in range(d)]
+
+    def snap(self, x: Column, i: int) -> Column:
+        """The upper end of the cell of x on axis i, by binary search; a category as it is.
+        NaN goes to the last cell, as in the trees of Spark."""
+        if i in self.categorical:
+            return x
+
+        def search(ends: list[float]) -> Column:
+            if len(ends) == 1:
+                return F.lit(ends[0])
+            mid = (len(ends) - 1) // 2
+            return F.when(x <= F.lit(ends[mid]), search(ends[: mid + 1])).otherwise(search(ends[mid + 1 :]))
+
+        return search(self.axes[i])
+
+    def snapped(self, df: DataFrame, features: Sequence[str]) -> DataFrame:
+        """df with every feature at the upper end of its cell: the model scores it alike."""
+        return df.withColumns({f: self.snap(F.col(f"`{f}`").cast("double"), i) for i, f in enumerate(features)})
+
+    def lookup(self, spark: SparkSession, score):
+        """score(df with `vec`) as a lookup by cell for snapped rows, where the cells are few."""
+        if self.categorical or math.prod(len(a) for a in self.axes) > GRID_CELLS:
+            return score
+        grid = spark.createDataFrame([(self.axes,)], "a array<array<double>>").repartition(1)
+        for i in range(len(self.axes)):
+            grid = grid.withColumn(f"v{i}", F.explode(F.col("a")[i]))
+        grid = grid.select(F.array(*[F.col(f"v{i}") for i in range(len(self.axes))]).alias("vec"))
+        scored = small_side(score(grid.repartition(spark.sparkContext.defaultParallelism)).select("vec", "score"))
+        return lambda df: df.join(scored, "vec")
+
+
 def _weights(depth: int) -> tuple[np.ndarray, np.ndarray]:
     """wa[a, b] = (a-1)! b! / (a+b)!, wb[a, b] = a! (b-1)! / (a+b)!."""
     wa, wb = np.zeros((depth + 1, depth + 1)), np.zeros((depth + 1, depth + 1))
@@ -205,7 +257,8 @@ def tree_contributions(
     spark = df.sparkSession
     kind = _kind(model)
     mean = type(model).__name__.startswith("RandomForest")
-    forest = Forest(node_table(spark, model).toPandas(), kind, output, mean)  # the model is on the driver already
+    nodes = node_table(spark, model).toPandas()  # the model is on the driver already
+    forest = Forest(nodes, kind, output, mean)
     bg = np.asarray(background, dtype=np.float64).reshape(len(background), len(features))
     d = len(features)
 
@@ -214,13 +267,11 @@ def tree_contributions(
         for b in batches:
             x = np.vstack(b["__x"].to_numpy()) if len(b) else np.zeros((0, d))
             phi, value, base = explain_rows(forest, bg, x, d, prepared)
-            yield pd.DataFrame({id_col: b[id_col], "phi": list(phi), "value": value, "base_value": base})
-
-    rows = df.select(id_col, F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("__x"))
-    # every row costs trees x leaves x patterns: spread few large input partitions over all
-    # cores (only ids and features move)
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
-    id_type = df.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"`{id_col}` {id_type}, phi array<double>, value double, base_value double")
+            yield pd.DataFrame({"__x": b["__x"], "phi": list(phi), "value": value, "base_value": base})
+
+    x = [f"`{f}`" for f in features]
+    rows = Cells(nodes, d).snapped(df.select(id_col, *x), features).select(F.col(id_col).alias("__id"), F.array(*x).alias("__x"))
+    cells = checkpoint(rows.select("__x").distinct())
+    tasks = max(spark.sparkContext.defaultParallelism, -(-cells.count() // TASK_ROWS))
+    explained = cells.repartition(tasks).mapInPandas(run, "__x array<double>, phi array<double>, value double, base_value double")
+    return rows.join(small_side(explained), "__x").select(F.col("__id").alias(id_col), "phi", "value", "base_value")

@@ -126,3 +126,29 @@ def test_forest_permutation_metrics_with_numpy(spark):
         drops = np.array([[b_auc - a, b_acc - c] for a, c in (metrics(f, rep) for rep in (1, 2, 3))])
         assert abs(got[f]["importance_mean"] - drops[:, 0].mean()) < 1e-12 and abs(got[f]["importance_std"] - drops[:, 0].std()) < 1e-9
         assert abs(got[f]["accuracy_drop_mean"] - drops[:, 1].mean()) < 1e-12 and abs(got[f]["accuracy_drop_std"] - drops[:, 1].std()) < 1e-9
+
+
+def test_rows_of_a_cell_are_scored_and_explained_alike(spark):
+    df, cols = frame(spark, 300, 3, 6)
+    model = RandomForestClassifier(numTrees=5, maxDepth=3, maxBins=8, seed=7).fit(df)
+    score = scorer(model, "probability")
+    cells = T.Cells(T.node_table(spark, model).toPandas(), len(cols))
+    vec = F.array(*cols).alias("vec")
+    snapped = cells.snapped(df, cols).select("id", vec)
+    assert snapped.select("vec").distinct().count() < 300
+    want = {r["id"]: r["score"] for r in score(df.select("id", vec)).collect()}
+    got = {r["id"]: r["score"] for r in cells.lookup(spark, score)(snapped).collect()}
+    assert got == want
+    background = [[float(v) for v in r] for r in df.where("id >= 280").select(*cols).collect()]
+    one = {r["id"]: (r["phi"], r["value"]) for r in T.tree_contributions(df, "id", cols, model, background).collect()}
+    two = T.tree_contributions(cells.snapped(df, cols), "id", cols, model, background).collect()
+    assert one == {r["id"]: (r["phi"], r["value"]) for r in two} and len(two) == 300
+
+
+def test_counted_scores_equal_repeated_rows(spark):
+    from cohortry.operators.metrics import ranking_scores
+
+    rows = [(0.2, 0, 3), (0.2, 1, 2), (0.7, 1, 4), (0.9, 0, 1)]
+    counted = ranking_scores(spark.createDataFrame(rows, "p double, y int, n long"), "y", "p", (), "n").first()
+    long = ranking_scores(spark.createDataFrame([(p, y) for p, y, n in rows for _ in range(n)], "p double, y int"), "y", "p").first()
+    assert counted == long
