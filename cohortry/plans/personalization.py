@@ -10,7 +10,7 @@ from cohortry.operators import similarity as S
 from cohortry.operators.knn import cosine, nearest
 from cohortry.plans.catalog import query, table
 from cohortry.plans.scorecard import SCORED_SQL, scored
-from cohortry.session import scratch_dir
+from cohortry.session import checkpoint, scratch_dir
 
 FEATS = ["f1", "f2", "f3", "f4"]
 PF_SQL = """pf AS (SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS f1, coalesce(n, 0)::double AS f2, price AS f3, urgent::double AS f4,
@@ -188,7 +188,7 @@ def n11(spark, d):
 )
 def n12(spark, d):
     f = features(spark, d)
-    near = S.similar_patients(S.embed(f, "id", FEATS), "id", 10)
+    near = checkpoint(S.similar_patients(S.embed(f, "id", FEATS), "id", 10))  # read by two branches
     r = R.recommendations(f.withColumnRenamed("id", "patient"), R.neighbour_stats(near, f.select(F.col("id").alias("neighbour"), "target")))
     cohorts = f.select(F.col("id").alias("patient"), (F.col("cp") - 1).cast("int").alias("cohort"))
     rep = R.patient_reports(f.select(F.col("id").alias("patient"), "segment", "f1"), cohorts, near, r)

@@ -173,3 +173,38 @@ def test_text_ids(spark, pivots):
     assert have == brute(x, m, 4)
     by = C.dbscan(q.withColumnRenamed("qid", "id"), "id", 0.5, 3).orderBy("id").collect()
     assert [r["cohort"] for r in by] == brute_dbscan(x, 0.5, 3)
+
+
+@pytest.mark.parametrize("metric", ["weighted", "euclidean"])
+@pytest.mark.parametrize("rows", [100, 100_000])
+def test_regions_of_boxes_equal_brute_force(spark, metric, rows):
+    """Copies, ties on a lattice, rows near the origin and outliers, over many regions and one."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([points(150, 3), rng.integers(-2, 3, (150, 3)), rng.normal(size=(500, 3)) * 0.01, rng.normal(size=(100, 3)) * 50]).astype(float)
+    m, floor = (K.weighted_similarity(), 0.3) if metric == "weighted" else (K.euclidean(), None)
+    got = K.nearest(frame(spark, x), frame(spark, x, "cid"), 4, m, floor=floor, region_rows=rows).collect()
+    have = {}
+    for r in sorted(got, key=lambda r: (r["qid"], r["rank"])):
+        have.setdefault(r["qid"], []).append(r["cid"])
+    assert have == {i: v for i, v in brute(x, m, 4, floor).items() if v}
+
+
+def test_a_region_visits_few_rows():
+    """The pairs scored per query do not grow with the rows of the region."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    seen = {}
+    for n in (4000, 16000):
+        inner, count = K.weighted_similarity(), [0]
+
+        def score(q, c, inner=inner, count=count):
+            count[0] += len(q) * len(c)
+            return inner.score(q, c)
+
+        x = rng.normal(size=(n, 4))
+        rows = pd.DataFrame({"qid": np.arange(n), "vec": list(x), "kth": 0.3})
+        K._region_topk(K.Metric(score, upper=inner.upper), 11, 0.3)(rows, rows.rename(columns={"qid": "cid"}))
+        seen[n] = count[0] / n
+    assert seen[16000] < 1.5 * seen[4000]
+    assert seen[16000] < 16000 / 3
