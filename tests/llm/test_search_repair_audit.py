@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +315,36 @@ def test_divergence_equals_brute_force_on_odd_rows(spark):
 def test_divergence_empty(spark):
     frame = spark.createDataFrame([], DOCS)
     assert divergence.audit(frame).count() == 0
+
+
+PQ = (693748501, 829348807)  # (p - q)^2 / (p + q) is 180 / 1523097308 below a whole number
+CN = [(731443, 1941897971), (10_000_000_000, 30_000_000_000)]
+
+
+def test_divergence_values_are_floored_exactly(spark):
+    """A quotient just below a whole number is not rounded up to it; counts beyond the
+    range of the long product go on in decimals."""
+    p, q = PQ
+    row = spark.range(1).select(divergence._f(F.lit(p).cast("long"), F.lit(q).cast("long")).alias("f"), *[
+        divergence._p(*[F.lit(x).cast("long") for x in (c, n, 1)]).alias(f"p{i}") for i, (c, n) in enumerate(CN)
+    ]).first()
+    assert row["f"] == (p - q) ** 2 // (p + q)
+    assert [row["p0"], row["p1"]] == [1 + 10**9 * (c + 2) // (n + 2) for c, n in CN]
+
+
+def test_divergence_terms_are_summed_across_flushes_and_copies(spark, monkeypatch):
+    """Sums handed on early and copies in several sources give the same result."""
+    rows = [(f"{w} " * 3, "l", f"s{i % 3}") for i, w in enumerate(["aa bb É1cc", "Aa,bb dd", "", "aa ÉE çb"] * 5)]
+    frame = spark.createDataFrame(rows, "text string, lang string, source string")
+    whole = {tuple(r) for r in divergence.audit(frame, 3, 4).collect()}
+    monkeypatch.setattr(divergence, "HELD_TERMS", 2)
+    parts = [b.to_pydict() for b in divergence._term_sums(iter([pa.RecordBatch.from_pylist(
+        [{"text": "aa bb aa", "by": [{"gid": 1, "m": 1}, {"gid": 2, "m": 3}]}, {"text": "bb", "by": [{"gid": 1, "m": 2}]}]
+    )]))]
+    sums = {}
+    for b in parts:
+        for g, t, c, dm in zip(*b.values()):
+            old = sums.get((g, t), (0, 0))
+            sums[g, t] = (old[0] + c, old[1] + dm)
+    assert len(parts) > 1 and sums == {(1, b"aa"): (2, 1), (1, b"bb"): (3, 3), (2, b"aa"): (6, 3), (2, b"bb"): (3, 3)}
+    assert whole == brute_divergence(rows, 3, 4)
