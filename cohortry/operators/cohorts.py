@@ -14,6 +14,7 @@ from cohortry.session import checkpoint
 
 
 PAIR_LIMIT = 1_000_000  # point pairs a pair of boxes may compare
+ROWS_A_TASK = 1_000_000  # rows a task of k-means passes over
 KEY_DIMS = 3  # leading dimensions by which neighbours are looked up
 
 
@@ -22,7 +23,11 @@ def kmeans_cohorts(emb: DataFrame, id_col: str, k: int = 5, n_init: int = 10, se
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = emb.select(id_col, array_to_vector(vec).alias("features")).persist()
+    # every step of every run sends a result per partition to the driver: no more
+    # partitions than cores and rows ask for, whatever the exchanges below are set to
+    cores = emb.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-emb.count() // ROWS_A_TASK))
+    v = emb.select(id_col, array_to_vector(vec).alias("features")).coalesce(parts).persist()
     fits = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cohort").fit(v) for i in range(n_init)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     v.unpersist()

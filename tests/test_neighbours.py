@@ -234,3 +234,12 @@ def test_a_tile_hands_on_only_scores_that_can_count():
     assert cosine().fast(q, c) is None
     got = _tile_topk(cosine(), 6, None)(pd.DataFrame({"qid": np.arange(40), "vec": list(q), "home": 1, "kth": kth}), cs)
     assert [tuple(r) for r in got[["qid", "cid", "score"]].itertuples(index=False)] == [w for w in want if w[1] != 8]
+
+
+def test_kmeans_passes_over_few_partitions(spark):
+    """Partitions, and with them the results sent to the driver, do not follow the input's."""
+    rows = [(i, [float(i % 2) * 10 + (i % 7) * 0.01]) for i in range(400)]
+    e = spark.createDataFrame(rows, "id bigint, vec array<double>").repartition(64, "id")
+    out = C.kmeans_cohorts(e, "id", 2, n_init=1)
+    assert out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(r["count"] for r in out.groupBy("cohort").count().collect()) == [200, 200]
