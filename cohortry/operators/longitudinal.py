@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ class EventKind:
 
 def encounter_features(enc: DataFrame, emergency: str = "emergency") -> DataFrame:
     """enc: patient, start, stop, class."""
-    e = enc.select(
-        "patient", "start", "stop", "class", duration_days(F.col("start"), F.col("stop")).alias("duration_days")
+    e = joined_once(
+        enc.select("patient", "start", "stop", "class", duration_days(F.col("start"), F.col("stop")).alias("duration_days"))
     )
     base = e.groupBy("patient").agg(
         F.count(F.lit(1)).alias("n_encounters"),
@@ -62,42 +63,55 @@ class CodeCounts:
 
 def code_features(events: DataFrame, families: Sequence[CodeCounts]) -> DataFrame:
     """events: patient, code, stop; an open event has no stop. All families that lie
-    in one table are counted in one pass; a patient without any row of a family gets
-    a null there."""
-    aggs = []
-    for f in families:
+    in one table are counted in one pass, per code first, so that rows with the same code
+    meet once; a patient without any row of a family gets a null there."""
+    per_code, aggs = [], []
+    for i, f in enumerate(families):
         hit = F.expr(f.where) if f.where else F.lit(True)
-        n = F.count_if(hit)
+        per_code += [F.count_if(hit).alias(f"__n{i}"), F.count_if(hit & F.col("stop").isNull()).alias(f"__o{i}")]
+        n = F.sum(f"__n{i}")
         present = lambda c, n=n: F.when(n > 0, c)
         aggs += [
             present(n).alias(f.n),
-            present(F.count_distinct(F.when(hit, F.col("code")))).alias(f.n_codes),
-            present(F.count_if(hit & F.col("stop").isNull())).alias(f.n_open),
+            present(F.count_if((F.col(f"__n{i}") > 0) & F.col("code").isNotNull())).alias(f.n_codes),
+            present(F.sum(f"__o{i}")).alias(f.n_open),
         ]
-    return events.groupBy("patient").agg(*aggs)
+    return events.groupBy("patient", "code").agg(*per_code).groupBy("patient").agg(*aggs)
 
 
 def summary_list(
     events: DataFrame, value: str, order: Sequence[str | Column], out: str, limit: int = 5
 ) -> DataFrame:
     """First values of a patient joined by ` | `, with `(+N more)` beyond the limit."""
+    return summary_lists(events, value, order, {out: None}, limit)
+
+
+def summary_lists(
+    events: DataFrame, value: str, order: Sequence[str | Column], lists: Mapping[str, str | None], limit: int = 5
+) -> DataFrame:
+    """Several lists of one table: name and the rows that belong to it (None: all). Rows of
+    the same lists are limited together before they move, so a row moves once; a patient
+    without a row of a list gets a null there."""
     ok = events.filter(F.col(value).isNotNull() & (F.col(value) != ""))
-    totals = ok.groupBy("patient").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy("patient").orderBy(*order)
-    head = (
-        ok.withColumn("__r", F.row_number().over(w))
-        .filter(F.col("__r") <= limit)
-        .groupBy("patient")
-        .agg(F.array_sort(F.collect_list(F.struct("__r", F.col(value).alias("v")))).alias("__l"))
-    )
-    text = F.array_join(F.transform("__l", lambda s: s["v"]), " | ")
-    extra = F.col("__n") - limit
-    return head.join(totals, "patient").select(
-        "patient",
-        F.when(extra > 0, F.concat(text, F.lit(" | (+"), extra.cast("string"), F.lit(" more)")))
-        .otherwise(text)
-        .alias(out),
-    )
+    hits = [F.coalesce(F.expr(w), F.lit(False)) if w else F.lit(True) for w in lists.values()]
+    ok = ok.withColumn("__in", reduce(lambda a, b: a + b, [h.cast("int") * (1 << i) for i, h in enumerate(hits)]))
+    if None not in lists.values():
+        ok = ok.filter("__in > 0")
+    mine = [F.col("__in").bitwiseAND(F.lit(1 << i)) > 0 for i in range(len(lists))]
+    totals = ok.groupBy("patient").agg(*[F.count_if(m).alias(f"__n{i}") for i, m in enumerate(mine)])
+    first = F.row_number().over(Window.partitionBy("patient", "__in").orderBy(*order))
+    head = ok.withColumn("__r", first).filter(F.col("__r") <= limit)
+    upto = Window.partitionBy("patient").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    head = head.select("patient", F.col(value).alias("v"), "__in", *[F.count_if(m).over(upto).alias(f"__r{i}") for i, m in enumerate(mine)])
+    kept = [F.when(m & (F.col(f"__r{i}") <= limit), F.struct(F.col(f"__r{i}").alias("r"), "v")) for i, m in enumerate(mine)]
+    texts = head.groupBy("patient").agg(*[F.array_sort(F.collect_list(k)).alias(f"__l{i}") for i, k in enumerate(kept)])
+    cols = []
+    for i, name in enumerate(lists):
+        text = F.array_join(F.transform(f"__l{i}", lambda s: s["v"]), " | ")
+        extra = F.col(f"__n{i}") - limit
+        text = F.when(extra > 0, F.concat(text, F.lit(" | (+"), extra.cast("string"), F.lit(" more)"))).otherwise(text)
+        cols.append(F.when(F.col(f"__n{i}") > 0, text).alias(name))
+    return texts.join(totals, "patient").select("patient", *cols)
 
 
 def dominant_domain(events: DataFrame, text: str, out: str = "dominant_condition_domain") -> DataFrame:
@@ -174,6 +188,12 @@ def event_summary(tl: DataFrame, limit: int = 50) -> DataFrame:
     )
 
 
+def joined_once(df: DataFrame) -> DataFrame:
+    """Every column for every reader. Readers of a join that need different columns would
+    each shuffle their own narrower copy of it; behind this they all read the same exchanges."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def attach(patients: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:
     """Left-join chain of one-row-per-patient tables onto the patient table."""
     out = patients

@@ -87,12 +87,11 @@ ORDER = ["start", "ok", "ln", "code", "sk"]
 
 def longitudinal_parts(spark, d):
     enc, cond, obs = tables(spark, d)
-    med = cond.filter("flag = 'R'")
+    enc, cond = L.joined_once(enc.drop("id", "cost")), L.joined_once(cond)
     return [
         L.encounter_features(enc),
         L.code_features(cond, [*R.CONDITION_COUNTS, *R.MEDICATION_COUNTS]),
-        L.summary_list(cond, "description", ORDER, "condition_summary"),
-        L.summary_list(med, "description", ORDER, "medication_summary"),
+        L.summary_lists(cond, "description", ORDER, {"condition_summary": None, "medication_summary": "flag = 'R'"}),
         L.dominant_domain(cond, "description"),
         L.observation_features(obs, OBS_CODES),
         timeline(enc, cond, obs).groupBy("patient").agg(F.count(F.lit(1)).alias("temporal_event_count")),

@@ -51,18 +51,23 @@ def encounters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conditions(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
+    stop = F.when(F.col("l_linestatus") == "O", F.lit(None)).otherwise(F.col("l_shipdate"))
+    li = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", stop.alias("stop"), "l_returnflag", "l_linenumber", "l_suppkey"
+    )
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     p = table(spark, d, "part").select("p_partkey", "p_name")
+    # parts first: lines then move beside lines of the same part, and later of the same
+    # order, whose repeated values compress, and the order's columns move once less
     return (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(p, li.l_partkey == p.p_partkey, "left")
+        li.join(p, li.l_partkey == p.p_partkey, "left")
+        .join(o, li.l_orderkey == o.o_orderkey)
         .select(
             F.col("o_custkey").alias("patient"),
             F.col("l_partkey").alias("code"),
             F.col("p_name").alias("description"),
             F.col("o_orderdate").alias("start"),
-            F.when(F.col("l_linestatus") == "O", F.lit(None)).otherwise(F.col("l_shipdate")).alias("stop"),
+            "stop",
             F.col("l_returnflag").alias("flag"),
             F.col("l_orderkey").alias("ok"),
             F.col("l_linenumber").alias("ln"),
