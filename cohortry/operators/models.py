@@ -221,8 +221,16 @@ class StackingEnsemble:
             for n, p in self.members.items()
         }
 
-    def fit(self, train: DataFrame, label: str, id_cols: Sequence[str], weight: str | None = None) -> "StackingEnsemble":
-        self.classes = class_labels(train, label)
+    def fit(
+        self, train: DataFrame, label: str, id_cols: Sequence[str], weight: str | None = None, fitted: Mapping[str, FittedModel] | None = None
+    ) -> "StackingEnsemble":
+        """`fitted`: the members where they are already fitted on all of these rows, as a
+        voting ensemble of the same members holds them; else they are fitted here."""
+        if fitted is not None and set(fitted) != set(self.members):
+            raise ValueError("fitted models must be those of the members")
+        kept = dict.fromkeys([*id_cols, label, "features", *([weight] if weight else [])])
+        train = train.select(*kept)
+        self.classes = class_labels(train, label) if fitted is None else list(next(iter(fitted.values())).classes)
         folded = kfold(train, id_cols, self.folds, self.seed, "__fold")
         with persisted(folded) as data:
             parts = []
@@ -232,7 +240,7 @@ class StackingEnsemble:
             oof = reduce(lambda a, b: a.unionByName(b), parts).withColumnRenamed("__meta", "features")
             with persisted(oof) as rows:
                 self.meta_model = fit_model(self.meta, rows, label, None, self.classes)
-            self.fitted = self._fit_bases(data, label, weight)
+            self.fitted = self._fit_bases(data, label, weight) if fitted is None else {n: fitted[n] for n in self.members}
         return self
 
     def predict_proba(self, df: DataFrame, out: str = "probability") -> DataFrame:
@@ -354,7 +362,7 @@ def fit_best(train: DataFrame, held: DataFrame, features: Sequence[str], label:
         train, weight = with_weights(train, label), "weight"
     with persisted(train) as data:
         voting = VotingEnsemble(members).fit(data, label, weight)
-        stacking = StackingEnsemble(members, folds, seed, use_proba=use_proba).fit(data, label, id_cols, weight)
+        stacking = StackingEnsemble(members, folds, seed, use_proba=use_proba).fit(data, label, id_cols, weight, voting.fitted)
     scores = {"voting": evaluate_model(voting, held, label), "stacking": evaluate_model(stacking, held, label)}
     chosen = choose_model(scores["voting"], scores["stacking"], len(voting.classes))
     return TrainingOutcome(chosen, voting if chosen == "voting" else stacking, scores, voting.classes, list(features))

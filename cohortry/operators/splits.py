@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from cohortry.functions.seeded import seeded_hash
 from cohortry.operators.ranks import hash_bucket, null_safe_join, small_side
+from cohortry.session import checkpoint
 
 Ends = Callable[[Column], Sequence[Column]]
 
@@ -26,7 +27,9 @@ def rank_thresholds(
 ) -> DataFrame:
     """keys, t0, t1, ...: t_i is the (hash, ids) of the row at rank ends(n)[i] of its
     key, null where that rank is 0. The hash is narrowed in two steps, bucket and value,
-    so that no window holds more than `buckets` or 2^32 / `buckets` rows."""
+    so that no window holds more than `buckets` or 2^32 / `buckets` rows. The wanted
+    buckets, one per key and end, are kept first and the rows inside them once: two passes
+    over the input, and only rows of those buckets move."""
     keys = list(keys)
     tagged = df.select(*keys, h, *ids, hash_bucket(F.col(h), buckets).alias("__b"))
     hist = tagged.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
@@ -40,7 +43,7 @@ def rank_thresholds(
         *keys, "__b", "__lo", "__hi", F.posexplode(F.array(*[b.cast("bigint") for b in bounds])).alias("__i", "__end")
     ).filter((F.col("__end") > F.col("__lo")) & (F.col("__end") <= F.col("__hi")))
     need = need.select(*keys, "__b", "__i", (F.col("__end") - F.col("__lo")).alias("__pos"))
-    picked = null_safe_join(tagged, need, keys + ["__b"])
+    picked = checkpoint(null_safe_join(tagged, small_side(need), keys + ["__b"]))
     hashes = picked.groupBy(*keys, "__b", "__i", "__pos", h).agg(F.count(F.lit(1)).alias("__c"))
     upto = Window.partitionBy(*keys, "__b", "__i").orderBy(h).rowsBetween(Window.unboundedPreceding, 0)
     hashes = hashes.withColumn("__past", F.sum("__c").over(upto)).withColumn("__rest", F.col("__pos") - F.col("__past") + F.col("__c"))

@@ -81,10 +81,11 @@ def m07(spark, d):
 
 @query("m08_choose_ensemble")
 def m08(spark, d):
-    train, test = parts(spark, d)
-    with T.persisted(train) as tr:
-        v = T.evaluate_model(T.VotingEnsemble(MEMBERS).fit(tr, "y"), test, "y")
-        s = T.evaluate_model(T.StackingEnsemble(MEMBERS, folds=2).fit(tr, "y", ["id"]), test, "y")
+    with T.persisted(data(spark, d).select("id", "y", "features", "split")) as x:
+        train, test = x.filter("split = 'train'"), x.filter("split = 'test'")
+        voting = T.VotingEnsemble(MEMBERS).fit(train, "y")
+        stacking = T.StackingEnsemble(MEMBERS, folds=2).fit(train, "y", ["id"], fitted=voting.fitted)
+        v, s = T.evaluate_model(voting, test, "y"), T.evaluate_model(stacking, test, "y")
     chosen = T.choose_model(v, s, 2)
     return metric_rows(spark, {"voting": v, "stacking": s}).withColumn("chosen", F.col("model") == chosen)
 

@@ -127,3 +127,30 @@ def test_stream_keeps_newest_over_batches(spark, tmp_path):
         keep_newest(rows, "model", ["ts", "id"], out, ck, 5, once=True).awaitTermination()
     got = sorted(r["id"] for r in spark.read.parquet(f"{out}/v={latest_version(spark, out)}").collect())
     assert got == list(range(70, 80))
+
+
+def test_thresholds_move_only_rows_of_wanted_buckets(spark, monkeypatch):
+    from cohortry.operators import splits as S
+
+    kept = []
+    monkeypatch.setattr(S, "checkpoint", lambda df: kept.append(df) or df.localCheckpoint(), raising=False)
+    df = spark.range(20000).selectExpr("id", "int(id % 3) AS y")
+    got = S.split(df, ["id"], "y", 0.25, 0)
+    assert got.filter("split = 'test'").groupBy("y").count().orderBy("y").collect() == [(0, 1667), (1, 1667), (2, 1667)]
+    assert len(kept) == 1 and kept[0].count() < 100  # one bucket of 4096 per class
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_stacking_takes_fitted_members(spark, monkeypatch):
+    df = T.vectorize(risk_frame(spark), ["a", "b", "c"])
+    voting = T.VotingEnsemble(MEMBERS).fit(df, "y")
+    fits, fit = [], T.fit_model
+    monkeypatch.setattr(T, "fit_model", lambda name, *a, **k: fits.append(name) or fit(name, *a, **k))
+    given = T.StackingEnsemble(MEMBERS, folds=2).fit(df, "y", ["id"], fitted=voting.fitted)
+    assert len(fits) == 2 * len(MEMBERS) + 1
+    own = T.StackingEnsemble(MEMBERS, folds=2).fit(df, "y", ["id"])
+    for a, b in zip(given.predict_proba(df).orderBy("id").collect(), own.predict_proba(df).orderBy("id").collect()):
+        assert a["probability"] == pytest.approx(b["probability"])
+    with pytest.raises(ValueError):
+        T.StackingEnsemble({"logistic": {}}).fit(df, "y", ["id"], fitted=voting.fitted)
