@@ -374,12 +374,16 @@ def training_matrix(spark: SparkSession, datasets: Mapping[str, tuple[DataFrame,
 
     out = []
     for ds, (df, features, label, ids) in datasets.items():
-        with persisted(vectorize(safe_split(df.filter(F.col(label).isNotNull()), ids, label, test, seed), features)) as rows:
+        labelled = df.filter(F.col(label).isNotNull()).select(*dict.fromkeys([*ids, label, *features]))
+        made = vectorize(safe_split(labelled, ids, label, test, seed), features)
+        with persisted(made.select(label, "features", "split")) as rows:  # what fits and scores read
             train, held = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-            n_train, n_test = train.count(), held.count()
+            sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}  # two rows
+            n_train, n_test = sizes.get("train", 0), sizes.get("test", 0)
+            classes = class_labels(train, label)
             for n, p in members.items():
                 t0 = time.time()
-                m = fit_model(p.get("learner", n), train, label, **{k: v for k, v in p.items() if k != "learner"})
+                m = fit_model(p.get("learner", n), train, label, None, classes, **{k: v for k, v in p.items() if k != "learner"})
                 secs = time.time() - t0
                 s = evaluate_model(m, held, label)
                 out.append((ds, n, s["accuracy"], s["f1_weighted"], s["roc_auc"], n_train, n_test, len(features), secs))

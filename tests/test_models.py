@@ -154,3 +154,12 @@ def test_stacking_takes_fitted_members(spark, monkeypatch):
         assert a["probability"] == pytest.approx(b["probability"])
     with pytest.raises(ValueError):
         T.StackingEnsemble({"logistic": {}}).fit(df, "y", ["id"], fitted=voting.fitted)
+
+
+def test_matrix_keeps_only_what_fits_read(spark, monkeypatch):
+    kept, persisted = [], T.persisted
+    monkeypatch.setattr(T, "persisted", lambda df: kept.append(df.columns) or persisted(df))
+    df = risk_frame(spark).withColumn("note", F.lit("unused"))
+    rows = T.training_matrix(spark, {"d": (df, ["a", "b", "c"], "y", ["id"])}, MEMBERS).collect()
+    assert kept[0] == ["y", "features", "split"]
+    assert {(r["n_train"], r["n_test"], r["n_features"]) for r in rows} == {(96, 24, 3)}
