@@ -113,3 +113,11 @@ def symptom_target(df: DataFrame, symptoms: Sequence[str]) -> Column:
         return F.col(named[0]).cast("int")
     total = reduce(lambda a, b: a + b, [zero(F.col(c)) for c in symptoms])
     return flag(total >= 2)
+
+
+def bin_of(x: Column, cuts: Sequence[float], first: int = 0) -> Column:
+    """How many of the sorted `cuts` lie below x, by binary search; NaN is above all."""
+    if not len(cuts):
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(x <= F.lit(cuts[mid]), bin_of(x, cuts[:mid], first)).otherwise(bin_of(x, cuts[mid + 1 :], first + mid + 1))

@@ -25,6 +25,7 @@ from cohortry.session import checkpoint
 Scorer = Callable[[Mapping[str, Column]], Column]
 MAX_BACKGROUND = 512
 MAX_EXACT_FEATURES = 10
+BLOCK_VARIANTS = 1 << 21  # rows of a block whose variants are counted together
 
 
 # ------------------------------------------------------------- contributions
@@ -387,6 +388,88 @@ def permutation_variants(df: DataFrame, id_col: str, features: Sequence[str], y:
     return variants.unionByName(ranked.select(F.lit("").alias("feature"), F.lit(0).alias("rep"), id_col, y, "vec"))
 
 
+def counted_variants(df: DataFrame, id_col: str, features: Sequence[str], y: str, cells, repeats: int = 10, seed: int = 42) -> DataFrame:
+    """(feature, rep, y, p, n): how many variants of `permutation_variants` have each score,
+    for a scorer that knows the scores of all cells of the features (`CellScores`).
+
+    A row is the number of its cell. Rows in the order of their rank are packed into blocks
+    of cell numbers; repeat r sends a block to the one or two blocks that take from it, and
+    every variant is then arithmetic on cell numbers and a count, inside one task."""
+    if repeats < 1:
+        raise ValueError("repeats must be 1 or more")
+    n = df.count()
+    if n < 2:
+        raise ValueError("permutation needs two rows or more")
+    spark, kind = df.sparkSession, df.schema[y].dataType
+    sizes = [len(a) for a in cells.cells.axes]
+    steps = [int(np.prod(sizes[i + 1 :], dtype=np.int64)) for i in range(len(sizes))]
+    scores, rank_of = np.unique(cells.by_code(), return_inverse=True)
+    width = len(scores)
+    reps = spark.range(1, repeats + 1).select(F.col("id").cast("int").alias("rep"))
+    shifts = {r["rep"]: r["s"] for r in reps.select("rep", (F.pmod(seeded_hash(f"shift{seed}", "rep"), F.lit(n - 1)) + 1).alias("s")).collect()}
+    block = min(BLOCK_VARIANTS, max(1 << 14, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    base = df.select(id_col, F.col(y).cast("double").alias("y"), cells.cells.code(features).alias("code"), seeded_hash(str(seed), id_col).alias("__h"))
+    ranked = global_rank(base, ["__h", id_col], out="__r").select((F.col("__r") - 1).alias("at"), "code", "y")
+
+    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        codes, ys = rows["code"].to_numpy(dtype=np.int32), rows["y"].to_numpy(dtype=np.float64)
+        return pd.DataFrame({"block": [key[0]], "codes": [codes.tobytes()], "ys": [ys.tobytes()]})
+
+    blocks = ranked.withColumn("block", F.floor(F.col("at") / F.lit(block)))
+    blocks = checkpoint(blocks.groupBy("block").applyInPandas(pack, "block bigint, codes binary, ys binary"))
+
+    def give(frames):
+        for f in frames:
+            for b, raw in zip(f["block"], f["codes"]):
+                codes = np.frombuffer(raw, dtype=np.int32)
+                for rep, s in shifts.items():
+                    pos = 0
+                    while pos < len(codes):
+                        i = (b * block + pos - s) % n  # the row that takes from the one at pos
+                        to = i // block
+                        some = min(len(codes) - pos, (to + 1) * block - i, n - i)
+                        yield pd.DataFrame({"block": [to], "rep": [rep], "start": [i - to * block], "taken": [codes[pos : pos + some].tobytes()]})
+                        pos += some
+
+    taken = blocks.select("block", "codes").mapInPandas(give, "block bigint, rep int, start bigint, taken binary")
+
+    def count(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        codes = np.frombuffer(rows["codes"].iloc[0], dtype=np.int32)
+        classes, of = np.unique(np.frombuffer(rows["ys"].iloc[0]), return_inverse=True)
+        out = []
+
+        def add(feature, rep, at):
+            found = np.bincount(rank_of[at] + of * width, minlength=width * len(classes)).reshape(len(classes), width)
+            out.extend((feature, rep, c, found[k].astype(np.int32).tobytes()) for k, c in enumerate(classes))
+
+        add(-1, 0, codes)
+        own = [codes // step % size for step, size in zip(steps, sizes)]
+        for rep, some in parts.groupby("rep"):
+            other = np.empty(len(codes), dtype=np.int32)
+            for start, raw in zip(some["start"], some["taken"]):
+                piece = np.frombuffer(raw, dtype=np.int32)
+                other[start : start + len(piece)] = piece
+            for i, (step, size) in enumerate(zip(steps, sizes)):
+                add(i, int(rep), codes + (other // step % size - own[i]) * step)
+        return pd.DataFrame(out, columns=["feature", "rep", "y", "counts"])
+
+    counted = blocks.groupBy("block").cogroup(taken.groupBy("block")).applyInPandas(count, "feature int, rep int, y double, counts binary")
+
+    def total(key, rows: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(width, dtype=np.int64)
+        for raw in rows["counts"]:
+            found += np.frombuffer(raw, dtype=np.int32)
+        at = np.flatnonzero(found)
+        return pd.DataFrame({"feature": key[0], "rep": key[1], "y": key[2], "p": scores[at], "n": found[at]})
+
+    # null in y is NaN here and one key; Python hands NaN back as null
+    sums = counted.withColumn("y", F.coalesce("y", F.lit(float("nan")))).groupBy("feature", "rep", "y")
+    rows = sums.applyInPandas(total, "feature int, rep int, y double, p double, n bigint")
+    name = F.coalesce(F.get(F.array(*[F.lit(f) for f in features]), F.when(F.col("feature") >= 0, F.col("feature"))), F.lit(""))
+    return rows.select(name.alias("feature"), "rep", F.when(~F.isnan("y"), F.col("y")).cast(kind).alias(y), "p", "n")
+
+
 def model_permutation_importance(
     df: DataFrame, id_col: str, features: Sequence[str], y: str, score: Callable[[DataFrame], DataFrame],
     repeats: int = 10, seed: int = 42, threshold: float = 0.5,
@@ -398,10 +481,14 @@ def model_permutation_importance(
     scorer, so a fitted model scores one batch of rows x (features x repeats + 1) in one
     scan; equal scores of a (feature, repeat) and class are one counted row before they are
     kept, and both metrics are computed from these. A row is right when
-    (score >= threshold) equals y."""
-    v = permutation_variants(df, id_col, features, y, repeats, seed)
-    scored = score(v).select("feature", "rep", y, F.col("score").cast("double").alias("p"))
-    scored = checkpoint(scored.groupBy("feature", "rep", y, "p").agg(F.count(F.lit(1)).alias("n")))
+    (score >= threshold) equals y. A scorer that knows the scores of all cells counts the
+    same variants by cell numbers (`counted_variants`)."""
+    if hasattr(score, "by_code"):
+        scored = checkpoint(counted_variants(df, id_col, features, y, score, repeats, seed))
+    else:
+        v = permutation_variants(df, id_col, features, y, repeats, seed)
+        scored = score(v).select("feature", "rep", y, F.col("score").cast("double").alias("p"))
+        scored = checkpoint(scored.groupBy("feature", "rep", y, "p").agg(F.count(F.lit(1)).alias("n")))
     auc = ranking_scores(scored, y, "p", ["feature", "rep"], "n").select("feature", "rep", "roc_auc")
     right = (F.col("p") >= threshold).cast("int") == F.col(y).cast("int")
     known = F.sum(F.when(right.isNotNull(), F.col("n")))

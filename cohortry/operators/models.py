@@ -12,14 +12,18 @@ from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -27,11 +31,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.functions.numeric import bin_of
 from cohortry.functions.seeded import seeded_hash  # noqa: F401  (public helper for callers)
 from cohortry.operators import ensemble as V
 from cohortry.operators import metrics as M
 from cohortry.operators.balance import with_weights
 from cohortry.operators.splits import kfold, split
+from cohortry.session import checkpoint, scratch_dir
 
 SHORT_TRACE = 32
 
@@ -81,6 +87,117 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows a cell of binned features stands for, at least, where a forest is fitted on cells.
+ROWS_A_CELL = 16
+
+
+def split_points(values: np.ndarray, max_bins: int) -> list[float]:
+    """Candidate thresholds of a feature as the trees of Spark choose them: between all
+    distinct values where they fit the bins, else next to equal shares of the rows."""
+    v, n = np.unique(values, return_counts=True)
+    mids = (v[:-1] + v[1:]) / 2
+    if len(mids) < max_bins:
+        return mids.tolist()
+    stride = n.sum() / max_bins
+    out, before, goal = [], n[0], stride
+    for i in range(1, len(v)):
+        now = before + n[i]
+        if abs(before - goal) < abs(now - goal):
+            out.append(float(mids[i - 1]))
+            goal += stride
+        before = now
+    return out
+
+
+def fit_forest(df: DataFrame, id_col: str, features: Sequence[str], **params):
+    """A random forest classifier of `learner` for `label_index`, on counted cells where rows
+    crowd them.
+
+    A tree sees of a row only its bins (at most maxBins a feature) and how often it was
+    drawn: Poisson draws of the rows of a (bins, class) cell add up to one Poisson draw of
+    their number, so every tree is fitted on cells weighted by its own draws, with feature
+    subsets of its own seed. The work of a tree follows the cells, only counting them reads
+    all rows. Where cells are not much fewer than rows, the rows themselves are fitted."""
+    spark, label = df.sparkSession, "label_index"
+    est = learner("random_forest", cacheNodeIds=True, **params)
+    trees, bins, seed = est.getNumTrees(), est.getMaxBins(), est.getSeed()
+    n = df.count()
+    plain = trees > 1 and est.getBootstrap() and not est.isDefined("weightCol") and est.getFeatureSubsetStrategy() == "auto"
+    if plain and n >= 4 * ROWS_A_CELL * bins:
+        share = min(1.0, max(bins * bins, 10_000) / n)  # rows that Spark looks at for thresholds
+        sample = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features]).sample(False, share, seed).toPandas()
+        cuts = [split_points(sample[f].dropna().to_numpy(), bins) for f in features]
+        binned = [F.when(F.col(f"`{f}`").isNotNull() & ~F.isnan(f"`{f}`"), bin_of(F.col(f"`{f}`").cast("double"), c)).alias(f"b{i}") for i, (f, c) in enumerate(zip(features, cuts))]
+        cells = df.select(F.col(label).cast("double").alias(label), *binned).groupBy(label, *[f"b{i}" for i in range(len(features))]).agg(F.count(F.lit(1)).alias("n"))
+        cells = checkpoint(cells)
+        found = cells.count()
+        if ROWS_A_CELL * found <= n:
+            return _forest_of_cells(spark, cells, found, cuts, label, trees, seed, est.getSubsamplingRate(), params)
+    rows = df.select(id_col, label, *[f"`{f}`" for f in features])
+    return est.fit(VectorAssembler(inputCols=list(features), outputCol="features").transform(spread(rows, id_col)))
+
+
+def _forest_of_cells(spark: SparkSession, cells: DataFrame, found: int, cuts: Sequence[Sequence[float]], label: str, trees: int, seed: int, rate: float, params: Mapping):
+    names, draws = [f"b{i}" for i in range(len(cuts))], [f"drawn{t}" for t in range(trees)]
+    seeds = [int(s) for s in np.random.SeedSequence(seed & ((1 << 64) - 1)).generate_state(trees)]
+    classes = int(cells.agg(F.max(label)).first()[0] or 0) + 1
+
+    def draw(batches):
+        for b in batches:
+            drawn = [np.random.default_rng(int(h) & ((1 << 64) - 1)).poisson(n * rate, trees) for h, n in zip(b["h"], b["n"])]
+            drawn = pd.DataFrame(np.array(drawn).reshape(len(b), trees), columns=draws, index=b.index)
+            yield pd.concat([b.drop(columns=["h", "n"]), drawn], axis=1)
+
+    schema = ",".join([f"{label} double", *[f"{c} int" for c in names], *[f"{c} bigint" for c in draws]])
+    keyed = cells.select(label, *names, "n", F.xxhash64(F.lit(seed), label, *names).alias("h")).repartition(_parts(found), *names)
+    drawn = VectorAssembler(inputCols=names, outputCol="features").transform(keyed.mapInPandas(draw, schema))
+    # classes that a draw leaves out are still classes
+    known = {"ml_attr": {"type": "nominal", "name": label, "num_vals": max(classes, 2)}}
+
+    with persisted(drawn.select("features", F.col(label).alias(label, metadata=known), *draws)) as rows:
+        rows.count()
+
+        def fit(t: int):
+            one = {**params, "numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "sqrt", "seed": seeds[t]}
+            some = rows.select("features", label, F.col(draws[t]).cast("double").alias("weight")).filter("weight > 0")
+            return learner("random_forest", weight="weight", **one).fit(some)
+
+        with ThreadPool(min(trees, max(1, spark.sparkContext.defaultParallelism))) as pool:
+            fitted = pool.map(inheritable_thread_target(spark)(fit), range(trees))
+    return _joined(spark, fitted, cuts)
+
+
+def _parts(cells: int) -> int:
+    return max(1, -(-cells // 65_536))
+
+
+def _joined(spark: SparkSession, fitted: Sequence, cuts: Sequence[Sequence[float]]):
+    """One forest of single trees that were fitted on bins, with the thresholds of the bins."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    package = jvm.org.apache.spark.ml.classification
+    single = [m._java_obj.trees()[0] for m in fitted]
+    array = gateway.new_array(package.DecisionTreeClassificationModel, len(single))
+    for i, t in enumerate(single):
+        array[i] = t
+    first = fitted[0]
+    whole = package.RandomForestClassificationModel(first.uid, array, len(cuts), first.numClasses)
+    of_all = jvm.org.apache.spark.ml.param.ParamMap.empty()
+    for name, value in (("numTrees", len(single)), ("bootstrap", True), ("featureSubsetStrategy", "auto")):
+        of_all.put(whole.getParam(name), value)
+    from_, to = scratch_dir(spark, "bins-"), scratch_dir(spark, "forest-")
+    first._java_obj.copyValues(whole, of_all).write().save(from_)
+    spark.read.text(f"{from_}/metadata").coalesce(1).write.text(f"{to}/metadata")
+    spark.read.parquet(f"{from_}/treesMetadata").write.parquet(f"{to}/treesMetadata")
+    nodes = spark.read.parquet(f"{from_}/data")
+    ends = F.array(*[F.array(*[F.lit(float(c)) for c in cut]).cast("array<double>") for cut in cuts])
+    split = F.col("nodeData.split")
+    at = F.floor(split["leftCategoriesOrThreshold"][0]).cast("int")
+    threshold = F.when(split["featureIndex"] >= 0, F.array(F.get(F.get(ends, split["featureIndex"]), at))).otherwise(split["leftCategoriesOrThreshold"])
+    mapped = F.col("nodeData").withField("split", split.withField("leftCategoriesOrThreshold", threshold))
+    nodes.withColumn("nodeData", mapped).write.parquet(f"{to}/data")
+    return RandomForestClassificationModel.load(to)
+
+
 @contextmanager
 def persisted(df: DataFrame):
     df = df.persist(StorageLevel.MEMORY_AND_DISK)

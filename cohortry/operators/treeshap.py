@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.functions.numeric import bin_of
 from cohortry.operators.ranks import small_side
 from cohortry.session import checkpoint, scratch_dir
 
@@ -170,6 +171,14 @@ class Cells:
         """df with every feature at the upper end of its cell: the model scores it alike."""
         return df.withColumns({f: self.snap(F.col(f"`{f}`").cast("double"), i) for i, f in enumerate(features)})
 
+    def code(self, features: Sequence[str]) -> Column:
+        """The number of a row's cell: its bin on the last axis plus, times the bins there,
+        that on the axis before, and so on (continuous features only)."""
+        out = F.lit(0)
+        for i, f in enumerate(features):
+            out = out * F.lit(len(self.axes[i])) + bin_of(F.col(f"`{f}`").cast("double"), self.axes[i][:-1])
+        return out
+
     def lookup(self, spark: SparkSession, score):
         """score(df with `vec`) as a lookup by cell for snapped rows, where the cells are few."""
         if self.categorical or math.prod(len(a) for a in self.axes) > GRID_CELLS:
@@ -178,8 +187,27 @@ class Cells:
         for i in range(len(self.axes)):
             grid = grid.withColumn(f"v{i}", F.explode(F.col("a")[i]))
         grid = grid.select(F.array(*[F.col(f"v{i}") for i in range(len(self.axes))]).alias("vec"))
-        scored = small_side(score(grid.repartition(spark.sparkContext.defaultParallelism)).select("vec", "score"))
-        return lambda df: df.join(scored, "vec")
+        return CellScores(self, small_side(score(grid.repartition(spark.sparkContext.defaultParallelism)).select("vec", "score")))
+
+
+class CellScores:
+    """The scores of all cells: a scorer of snapped rows with `vec`, and by cell number."""
+
+    def __init__(self, cells: Cells, scored: DataFrame):
+        self.cells, self.scored = cells, scored
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.join(self.scored, "vec")
+
+    def by_code(self) -> np.ndarray:
+        rows = self.scored.toPandas()  # at most GRID_CELLS rows
+        x = np.vstack(rows["vec"].to_numpy())
+        at = np.zeros(len(x), dtype=np.int64)
+        for i, ends in enumerate(self.cells.axes):
+            at = at * len(ends) + np.searchsorted(ends, x[:, i])
+        out = np.full(len(x), np.nan)
+        out[at] = rows["score"].to_numpy(dtype=np.float64)
+        return out
 
 
 def _weights(depth: int) -> tuple[np.ndarray, np.ndarray]:

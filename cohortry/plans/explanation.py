@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.operators import ensemble as V
 from cohortry.operators import explain as X
 from cohortry.operators import treeshap as T
-from cohortry.operators.models import learner, spread
+from cohortry.operators.models import fit_forest, learner, spread
 from cohortry.operators.lookup import literal_table
 from cohortry.operators.recommend import monitor_advice
 from cohortry.operators.splits import sample_rows
@@ -201,17 +201,16 @@ def x02_forest(spark, d):
     """Drops of AUC and accuracy of a random forest fitted with the library's settings when
     each feature of every order is taken from another order, over 10 repeats. SQL cannot
     score the forest; tests/test_treeshap.py checks the metrics with numpy."""
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     b = S.base(spark, d).withColumn("label_index", F.col("y").cast("double"))
-    model = learner("random_forest", cacheNodeIds=True).fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(spread(b, "id")))
+    model = fit_forest(b, "id", FEATURES)
     cells = T.Cells(T.node_table(spark, model).toPandas(), len(FEATURES))
 
     def score(df):
         return model.transform(df.withColumn("features", array_to_vector("vec"))).withColumn("score", vector_to_array("probability")[1])
 
-    return X.model_permutation_importance(cells.snapped(b, FEATURES), "id", FEATURES, "y", cells.lookup(spark, score), repeats=10)
+    return X.model_permutation_importance(b, "id", FEATURES, "y", cells.lookup(spark, score), repeats=10)
 
 
 # importance of three methods, here the three scorecards

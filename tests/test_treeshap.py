@@ -152,3 +152,77 @@ def test_counted_scores_equal_repeated_rows(spark):
     counted = ranking_scores(spark.createDataFrame(rows, "p double, y int, n long"), "y", "p", (), "n").first()
     long = ranking_scores(spark.createDataFrame([(p, y) for p, y, n in rows for _ in range(n)], "p double, y int"), "y", "p").first()
     assert counted == long
+
+
+def crowded(spark, n, seed=3):
+    """Rows that crowd few cells: a continuous feature, three of few values."""
+    rng = np.random.default_rng(seed)
+    a, b, c, d = rng.normal(size=n).round(4), rng.integers(0, 3, n) / 2.0, rng.integers(0, 2, n), rng.integers(0, 2, n)
+    y = (a + b + rng.normal(size=n) > 0.5).astype(int)
+    rows = [(i, float(p), float(q), float(r), float(s), int(t), float(t)) for i, (p, q, r, s, t) in enumerate(zip(a, b, c, d, y))]
+    return spark.createDataFrame(rows, "id long, x1 double, x2 double, x3 double, x4 double, y int, label_index double"), ["x1", "x2", "x3", "x4"]
+
+
+def test_forest_of_counted_cells(spark, monkeypatch):
+    """Trees are fitted on cells and draws of their rows, in the features' own thresholds."""
+    from cohortry.operators import models as M
+
+    df, cols = crowded(spark, 12_000)
+    rows = M.learner("random_forest", numTrees=12, maxDepth=5).fit(M.vectorize(df, cols))
+    whole = M.spread
+    monkeypatch.setattr(M, "spread", lambda *a: pytest.fail("rows are fitted"))
+    model = M.fit_forest(df, "id", cols, numTrees=12, maxDepth=5)
+    again = M.fit_forest(df.repartition(3, "y", "x2"), "id", cols, numTrees=12, maxDepth=5)
+    assert model.getNumTrees == 12 and model.numFeatures == 4 and model.numClasses == 2 and model.getMaxDepth() == 5
+    nodes = T.node_table(spark, model).toPandas()
+    top = nodes[nodes["id"] == 0]
+    drawn = [sum(s) for s in top["stats"]]
+    assert len(set(drawn)) > 6 and abs(np.mean(drawn) - 12_000) < 200  # sums of draws, one a tree
+    axes = T.Cells(nodes, 4).axes
+    assert axes[1] == [0.25, 0.75, np.inf] and axes[2] == [0.5, np.inf] and 8 < len(axes[0]) <= 32
+    y = np.array([r["y"] for r in df.orderBy("id").collect()])
+
+    def scores(m):
+        got = m.transform(M.vectorize(df, cols)).orderBy("id").select(vector_to_array("probability")[1].alias("p")).collect()
+        return np.array([r["p"] for r in got])
+
+    p, q = scores(model), scores(rows)
+    assert np.corrcoef(p, q)[0, 1] > 0.97 and abs(((p - y) ** 2).mean() - ((q - y) ** 2).mean()) < 2e-3
+    assert np.corrcoef(p, scores(again))[0, 1] > 0.97
+    assert max(abs(sum(s[k] for s in top["stats"]) / sum(drawn) - (y == k).mean()) for k in (0, 1)) < 0.01
+    monkeypatch.setattr(M, "spread", whole)
+    some = df.limit(700)  # cells are as many as rows: the rows themselves
+    want = M.learner("random_forest", numTrees=3, cacheNodeIds=True).fit(M.vectorize(M.spread(some, "id"), cols))
+    assert M.fit_forest(some, "id", cols, numTrees=3).toDebugString.split("\n", 1)[1] == want.toDebugString.split("\n", 1)[1]
+
+
+def test_split_points_are_those_of_the_trees(spark):
+    from cohortry.operators import models as M
+
+    df, cols = crowded(spark, 4000)
+    model = RandomForestClassifier(numTrees=40, maxDepth=8, maxBins=12, seed=1, labelCol="y").fit(M.vectorize(df, cols))
+    axes = T.Cells(T.node_table(spark, model).toPandas(), 4).axes
+    rows = df.toPandas()
+    for i, c in enumerate(cols):
+        assert set(axes[i][:-1]) <= set(M.split_points(rows[c].to_numpy(), 12)) and len(axes[i]) > (8 if i == 0 else 1)
+
+
+@pytest.mark.parametrize("block", [37, 1 << 21])
+def test_variants_counted_by_cells(spark, monkeypatch, block):
+    """Counts by cell numbers are those of scoring every variant."""
+    from cohortry.operators import models as M
+
+    df, cols = crowded(spark, 301)
+    model = RandomForestClassifier(numTrees=5, maxDepth=4, maxBins=8, seed=7, labelCol="y").fit(M.vectorize(df, cols))
+    odd = df.withColumn("y", F.when(F.col("id") % 50 != 7, F.col("y"))).withColumn("x1", F.when(F.col("id") == 5, float("nan")).otherwise(F.col("x1")))
+    score = scorer(model, "probability")
+    cells = T.Cells(T.node_table(spark, model).toPandas(), 4)
+    monkeypatch.setattr(X, "BLOCK_VARIANTS", block)
+    known = cells.lookup(spark, score)
+    got = X.counted_variants(odd, "id", cols, "y", known, repeats=4)
+    every = score(X.permutation_variants(odd.withColumn("x1", F.nanvl("x1", F.lit(1e300))), "id", cols, "y", repeats=4))
+    want = every.groupBy("feature", "rep", "y", F.col("score").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    one = X.model_permutation_importance(df, "id", cols, "y", known, repeats=4).orderBy("feature").collect()
+    two = X.model_permutation_importance(df, "id", cols, "y", score, repeats=4).orderBy("feature").collect()
+    assert np.allclose([r[1:] for r in one], [r[1:] for r in two], atol=1e-12) and len(one) == 4
