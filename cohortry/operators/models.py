@@ -125,7 +125,8 @@ def fit_forest(df: DataFrame, id_col: str, features: Sequence[str], **params):
     plain = trees > 1 and est.getBootstrap() and not est.isDefined("weightCol") and est.getFeatureSubsetStrategy() == "auto"
     if plain and n >= 4 * ROWS_A_CELL * bins:
         share = min(1.0, max(bins * bins, 10_000) / n)  # rows that Spark looks at for thresholds
-        sample = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features]).sample(False, share, seed).toPandas()
+        picked = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 31)) < F.lit(share * (1 << 31))  # whatever the partitions
+        sample = df.filter(picked).select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features]).toPandas()
         cuts = [split_points(sample[f].dropna().to_numpy(), bins) for f in features]
         binned = [F.when(F.col(f"`{f}`").isNotNull() & ~F.isnan(f"`{f}`"), bin_of(F.col(f"`{f}`").cast("double"), c)).alias(f"b{i}") for i, (f, c) in enumerate(zip(features, cuts))]
         cells = df.select(F.col(label).cast("double").alias(label), *binned).groupBy(label, *[f"b{i}" for i in range(len(features))]).agg(F.count(F.lit(1)).alias("n"))
@@ -149,7 +150,8 @@ def _forest_of_cells(spark: SparkSession, cells: DataFrame, found: int, cuts: Se
             yield pd.concat([b.drop(columns=["h", "n"]), drawn], axis=1)
 
     schema = ",".join([f"{label} double", *[f"{c} int" for c in names], *[f"{c} bigint" for c in draws]])
-    keyed = cells.select(label, *names, "n", F.xxhash64(F.lit(seed), label, *names).alias("h")).repartition(_parts(found), *names)
+    keyed = cells.select(label, *names, "n", F.xxhash64(F.lit(seed), label, *names).alias("h"))
+    keyed = keyed.repartition(_parts(found), *names).sortWithinPartitions(label, *names)
     drawn = VectorAssembler(inputCols=names, outputCol="features").transform(keyed.mapInPandas(draw, schema))
     # classes that a draw leaves out are still classes
     known = {"ml_attr": {"type": "nominal", "name": label, "num_vals": max(classes, 2)}}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.operators import ensemble as V
 from cohortry.operators import explain as X
 from cohortry.operators import treeshap as T
-from cohortry.operators.models import fit_forest, learner, spread
+from cohortry.operators.models import fit_forest
 from cohortry.operators.lookup import literal_table
 from cohortry.operators.recommend import monitor_advice
 from cohortry.operators.splits import sample_rows
@@ -93,10 +93,8 @@ def x04_forest(spark, d):
     settings, against 100 background rows, from the trees' leaf paths; phi sums to the
     forest's probability minus the background mean. SQL cannot score a fitted forest;
     tests/test_treeshap.py holds the paths against scoring every coalition."""
-    from pyspark.ml.feature import VectorAssembler
-
     b = S.base(spark, d).withColumn("label_index", F.col("y").cast("double"))
-    model = learner("random_forest", cacheNodeIds=True).fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(spread(b, "id")))
+    model = fit_forest(b, "id", FEATURES)
     out = T.tree_contributions(b, "id", FEATURES, model, background(spark, d, 100))
     return out.select("id", "value", "base_value", *[F.col("phi")[i].alias(f"phi_{f}") for i, f in enumerate(FEATURES)])
 
